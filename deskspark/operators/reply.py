@@ -47,19 +47,16 @@ def context_or_default(context: Column) -> Column:
     return F.coalesce(X.blank_to_null(context), F.lit(R.SLOT_DEFAULTS["context"]))
 
 
-def cut_before_salutation(reply: Column, markers: Sequence[str] = R.SALUTATIONS) -> Column:
-    """The first marker (list order) that occurs decides; it cuts only past position 100."""
-    spot = F.coalesce(
+def salutation_position(reply: Column, markers: Sequence[str] = R.SALUTATIONS) -> Column:
+    """Position of the first marker (list order) that occurs, 0 when none does."""
+    return F.coalesce(
         *[F.when(F.contains(reply, F.lit(m)), F.instr(reply, m)) for m in markers], F.lit(0)
     )
-    return F.when(spot > 101, F.substr(reply, spot)).otherwise(reply)
 
 
-def cut_at_sign_off(reply: Column, markers: Sequence[str] = R.SIGN_OFFS) -> Column:
-    """Cut at the earliest sign-off that does not open the text."""
-    spots = [F.nullif(F.instr(reply, m), F.lit(0)) for m in markers]
-    first = F.least(*[F.when(s > 1, s) for s in spots])
-    return F.when(first.isNotNull(), X.rstrip(F.substr(reply, F.lit(1), first - 1))).otherwise(reply)
+def sign_off_position(reply: Column, markers: Sequence[str] = R.SIGN_OFFS) -> Column:
+    """Position of the earliest sign-off that does not open the text, NULL when none."""
+    return F.least(*[F.when(F.instr(reply, m) > 1, F.instr(reply, m)) for m in markers])
 
 
 def drop_trailing_notes(reply: Column, notes: Sequence[str] = R.TRAILING_NOTES) -> Column:
@@ -68,12 +65,21 @@ def drop_trailing_notes(reply: Column, notes: Sequence[str] = R.TRAILING_NOTES)
     return F.regexp_replace(reply, rf"(?is)\n\n(?:{opening}).*$", "")
 
 
-def clean_reply(reply: Column) -> Column:
-    """Raw model text to a bare reply body."""
-    c = cut_at_sign_off(cut_before_salutation(reply))
-    c = F.regexp_replace(c, r"\[Your [^\]]+\]|\(optional\)", "")
-    c = X.trim_lines(drop_trailing_notes(c))
-    return X.strip(X.squeeze_blank_lines(c))
+def clean_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """Raw model texts to bare reply bodies.
+
+    Each step is a column of its own so that later steps reuse it instead of repeating it.
+    """
+    text, spot, cut = F.col(column), F.col("_spot"), F.col("_cut")
+    out = replies.withColumn("_spot", salutation_position(text))
+    out = out.withColumn("_body", F.when(spot > 101, F.substr(text, spot)).otherwise(text))
+    out = out.withColumn("_cut", sign_off_position(F.col("_body")))
+    short = F.when(
+        cut.isNotNull(), X.rstrip(F.substr(F.col("_body"), F.lit(1), cut - 1))
+    ).otherwise(F.col("_body"))
+    bare = F.regexp_replace(short, r"\[Your [^\]]+\]|\(optional\)", "")
+    tidy = X.strip(X.squeeze_blank_lines(X.trim_lines(drop_trailing_notes(bare))))
+    return out.withColumn(column, tidy).drop("_spot", "_body", "_cut")
 
 
 def add_signature(reply: Column, settings: Settings = DEFAULTS) -> Column:

@@ -74,7 +74,7 @@ def raw_replies(spark, sf_dir):
 
 @register("reply_cleanup", RAW_SQL + _cleanup_sql("raw") + "SELECT id, clean AS reply FROM cleaned")
 def reply_cleanup(spark, sf_dir):
-    return raw_replies(spark, sf_dir).select("id", G.clean_reply(F.col("reply")).alias("reply"))
+    return G.clean_replies(raw_replies(spark, sf_dir))
 
 
 def signature_sql(text: str) -> str:
