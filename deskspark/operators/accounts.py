@@ -79,7 +79,7 @@ def recent_invoices(invoices: DataFrame, k: int = 5) -> DataFrame:
 
 def plain_number(c: Column) -> Column:
     """Double as text without a trailing .0, so whole numbers read as in JSON input."""
-    return F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
+    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", ""))
 
 
 def usage_lines(current: Column, limits: Column) -> Column:

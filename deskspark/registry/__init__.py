@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-FAMILIES = ("mail", "classify", "reply", "quality", "accounts", "reports")
+FAMILIES = ("mail", "classify", "reply", "quality", "accounts", "reports", "caching")
 
 
 def register(name: str, sql: str | None = None):

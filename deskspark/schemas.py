@@ -55,7 +55,7 @@ QA_MODEL = _struct(
 VIOLATION = "struct<check_type: string, severity: string, message: string, action: string>"
 CACHE = _struct(
     "cache_key string, subject string, body string, category string, response string,"
-    " qa_score double, ts timestamp_ntz, metadata map<string, string>"
+    " qa_score double, ts timestamp_ntz, inserted_at timestamp_ntz, metadata map<string, string>"
 )
 METRICS = _struct(
     "email_id string, category string, priority string, total_time double,"
