@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +17,15 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it in `body`.
+
+    Spark evaluates an expression again wherever it is written, inside a lambda even once per
+    element; a lambda variable is the one form that is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
     return F.btrim(c, F.lit(WHITE))
@@ -56,6 +65,11 @@ def contains_any(c: Column, terms: Iterable[str], whole_word: bool = False) -> C
     return F.coalesce(any_of(F.contains(c, F.lit(t)) for t in terms), F.lit(False))
 
 
+def holds_any(text: Column, terms: Iterable[str], whole_word: bool = False) -> Column:
+    """Case-insensitive `contains_any`: the text is lower-cased once for all terms."""
+    return let(F.lower(text), lambda t: contains_any(t, terms, whole_word))
+
+
 def _quote(term: str) -> str:
     return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in term)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from deskspark.functions import text as X
 from deskspark.settings import DEFAULTS, Settings
 
 
@@ -84,13 +85,12 @@ def plain_number(c: Column) -> Column:
 
 def usage_lines(current: Column, limits: Column) -> Column:
     """`key: used/limit` per usage key; a key without a limit is unlimited."""
-    return F.transform(
-        F.array_sort(F.map_entries(current)),
-        lambda e: F.concat(
-            e["key"], F.lit(": "), plain_number(e["value"]), F.lit("/"),
-            F.coalesce(plain_number(F.try_element_at(limits, e["key"])), F.lit("unlimited")),
-        ),
-    )
+    def line(entry: Column, limit: Column) -> Column:
+        allowed = F.coalesce(plain_number(F.try_element_at(limit, entry["key"])), F.lit("unlimited"))
+        return F.concat(entry["key"], F.lit(": "), plain_number(entry["value"]), F.lit("/"), allowed)
+
+    return X.let(limits, lambda limit: F.transform(
+        F.array_sort(F.map_entries(current)), lambda entry: line(entry, limit)))
 
 
 def days_between(later: Column, now: Column) -> Column:

@@ -99,12 +99,15 @@ def markdown_sections(docs: DataFrame, text: str = "text", key: str = "source")
         F.array_sort(F.collect_list(F.struct("_pos", "_para", "_line"))).alias("_body")
     )
 
-    def glued(x: Column, i: Column) -> Column:
-        before = F.get(F.col("_body"), i - 1)["_para"]
-        gap = F.when(i == 0, F.lit("")).when(before == x["_para"], F.lit("\n")).otherwise(F.lit("  \n"))
-        return F.concat(gap, x["_line"])
+    def glued(body: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            same = F.get(body, i - 1)["_para"] == x["_para"]
+            gap = F.when(i == 0, F.lit("")).when(same, F.lit("\n")).otherwise(F.lit("  \n"))
+            return F.concat(gap, x["_line"])
 
-    return grouped.withColumn("content", F.array_join(F.transform("_body", glued), "")).drop("_body")
+        return F.array_join(F.transform(body, piece), "")
+
+    return grouped.withColumn("content", X.let(F.col("_body"), glued)).drop("_body")
 
 
 def _pieces(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
@@ -165,28 +168,32 @@ def split_long(sections: DataFrame, column: str = "content", settings: Settings
 
 def chunk_category(content: Column, source: Column, rules: Sequence[R.ChunkRule] = R.CHUNK_RULES) -> Column:
     """Struct (category, priority): content words first, then file-name words, else general."""
-    lower = F.lower(content)
     stem = F.lower(F.regexp_extract(source, r"([^/]+?)(?:\.[^./]*)?$", 1))
 
     def verdict(name: str, priority: str) -> Column:
         return F.struct(F.lit(name).alias("category"), F.lit(priority).alias("priority"))
 
-    tests = [(X.contains_any(lower, r.content_terms), r) for r in rules]
-    tests += [(X.contains_any(stem, r.file_terms), r) for r in rules]
-    out = None
-    for hit, r in tests:
-        value = verdict(r.category, r.priority)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(verdict(*R.CHUNK_DEFAULT))
+    def ladder(lower: Column) -> Column:
+        tests = [(X.contains_any(lower, r.content_terms), r) for r in rules]
+        tests += [(X.contains_any(stem, r.file_terms), r) for r in rules]
+        out = None
+        for hit, r in tests:
+            value = verdict(r.category, r.priority)
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.otherwise(verdict(*R.CHUNK_DEFAULT))
+
+    return X.let(F.lower(content), ladder)
 
 
 def doc_type(content: Column, types: Sequence[tuple[str, Sequence[str]]] = R.DOC_TYPES) -> Column:
-    lower = F.lower(content)
-    out = None
-    for name, terms in types:
-        hit = X.contains_any(lower, terms)
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit(R.DOC_TYPE_DEFAULT))
+    def ladder(lower: Column) -> Column:
+        out = None
+        for name, terms in types:
+            hit = X.contains_any(lower, terms)
+            out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+        return out.otherwise(F.lit(R.DOC_TYPE_DEFAULT))
+
+    return X.let(F.lower(content), ladder)
 
 
 def enrich(chunks: DataFrame) -> DataFrame:

@@ -18,9 +18,7 @@ def keyword_class(
     fallback: R.LadderRule = R.LADDER_DEFAULT, whole_word: bool = False,
 ) -> Column:
     """Struct (category, priority, confidence, reasoning, first_hit) from the first rung that hits."""
-    text = F.concat_ws(" ", F.lower(F.coalesce(subject, F.lit(""))), F.lower(F.coalesce(body, F.lit(""))))
-
-    def verdict(rule: R.LadderRule) -> Column:
+    def verdict(rule: R.LadderRule, text: Column) -> Column:
         priority = F.lit(rule.priority)
         if rule.high_terms:
             priority = F.when(X.contains_any(text, rule.high_terms), F.lit("high")).otherwise(priority)
@@ -31,11 +29,16 @@ def keyword_class(
             first.alias("first_hit"),
         )
 
-    out = None
-    for rule in ladder:
-        hit = X.contains_any(text, rule.terms, whole_word)
-        out = F.when(hit, verdict(rule)) if out is None else out.when(hit, verdict(rule))
-    return out.otherwise(verdict(fallback))
+    def climb(text: Column) -> Column:
+        out = None
+        for rule in ladder:
+            hit = X.contains_any(text, rule.terms, whole_word)
+            value = verdict(rule, text)
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.otherwise(verdict(fallback, text))
+
+    blank = F.lit("")
+    return X.let(F.lower(F.concat(F.coalesce(subject, blank), F.lit(" "), F.coalesce(body, blank))), climb)
 
 
 def classify(mails: DataFrame, subject: str = "subject", body: str = "body", **rules) -> DataFrame:
@@ -80,7 +83,7 @@ def route(category: Column, confidence: Column, settings: Settings = DEFAULTS) -
 def needs_account(
     category: Column, body: Column, terms: Sequence[str] = R.ACCOUNT_TERMS, whole_word: bool = False
 ) -> Column:
-    return (category == "billing") | X.contains_any(F.lower(body), terms, whole_word)
+    return (category == "billing") | X.holds_any(body, terms, whole_word)
 
 
 def corpus_category(category: Column) -> Column:
@@ -92,4 +95,4 @@ def corpus_category(category: Column) -> Column:
 
 
 def has_escalation(reply: Column, terms: Sequence[str] = R.ESCALATION_TERMS) -> Column:
-    return X.contains_any(F.lower(F.coalesce(reply, F.lit(""))), terms)
+    return X.holds_any(F.coalesce(reply, F.lit("")), terms)

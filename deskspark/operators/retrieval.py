@@ -113,9 +113,11 @@ def reciprocal_rank_fusion(lists: DataFrame, rrf_k: int = 60) -> DataFrame:
 
 def coverage(query: Column, text: Column) -> Column:
     """Share of distinct query words that occur in the text."""
-    q = X.word_set(query)
-    shared = F.size(F.array_intersect(q, X.word_set(text)))
-    return F.when(F.size(q) > 0, shared / F.size(q)).otherwise(0.0)
+    def share(q: Column) -> Column:
+        shared = F.size(F.array_intersect(q, X.word_set(text)))
+        return F.when(F.size(q) > 0, shared / F.size(q)).otherwise(0.0)
+
+    return X.let(X.word_set(query), share)
 
 
 def rerank(
@@ -160,7 +162,7 @@ def query_variants(query: Column, variants: Column, n: int = 3) -> Column:
 
 
 def is_complex(query: Column) -> Column:
-    return X.contains_any(F.lower(query), R.COMPLEX_MARKS) & (X.word_count(query) > 10)
+    return X.holds_any(query, R.COMPLEX_MARKS) & (X.word_count(query) > 10)
 
 
 def sub_queries(query: Column, parts: Column) -> Column:
@@ -182,22 +184,25 @@ def compress(query: Column, content: Column, n: int = 3) -> Column:
 
     Chosen by text, so any copy of a chosen sentence qualifies before the cut to n.
     """
-    parts = X.sentences(content)
-    words = X.word_set(query)
-    total = F.size(words)
-
-    def scored(s: Column, i: Column) -> Column:
-        share = F.when(total > 0, F.size(F.array_intersect(words, X.word_set(s)))).otherwise(0)
-        return F.struct((-share).alias("s"), i.alias("pos"), s.alias("text"))
-
-    best = F.slice(F.array_sort(F.transform(parts, scored)), 1, n)
-    chosen = F.transform(best, lambda b: b["text"])
-    kept = F.slice(F.filter(parts, lambda s: F.array_contains(chosen, s)), 1, n)
-    long = F.size(parts) > n
-    return F.struct(
-        F.when(long, F.array_join(kept, " ")).otherwise(content).alias("content"),
-        long.alias("compressed"),
-    )
+    def shortened(parts: Column, words: Column) -> Column:
+        def scored(s: Column, i: Column) -> Column:
+            shared = F.size(F.array_intersect(words, X.word_set(s)))
+            return F.struct((-shared).alias("s"), i.alias("pos"), s.alias("text"))
+
+        best = F.slice(F.array_sort(F.transform(parts, scored)), 1, n)
+        kept = X.let(F.transform(best, lambda b: b["text"]), lambda chosen: F.filter(
+            parts, lambda s: F.array_contains(chosen, s)))
+        return F.array_join(F.slice(kept, 1, n), " ")
+
+    def shape(parts: Column) -> Column:
+        long = F.size(parts) > n
+        return F.struct(
+            F.when(long, X.let(X.word_set(query), lambda words: shortened(parts, words)))
+            .otherwise(content).alias("content"),
+            long.alias("compressed"),
+        )
+
+    return X.let(X.sentences(content), shape)
 
 
 def context_text(docs: DataFrame, key: str = "id", gap: str = "\n\n---\n\n") -> DataFrame:
