@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-FAMILIES = ("mail", "classify", "reply", "quality", "accounts", "reports", "caching", "corpus", "retrieval")
+FAMILIES = (
+    "mail", "classify", "reply", "quality", "accounts", "reports", "caching", "corpus", "retrieval", "flow",
+    "streams",
+)
 
 
 def register(name: str, sql: str | None = None):
