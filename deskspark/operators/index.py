@@ -20,22 +20,37 @@ class KeywordIndex:
     corpus: DataFrame     # n, avgdl (one row)
 
 
+def _words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), X.words(F.col(text)).alias("words"))
+
+
+def _document_frequencies(tokens: DataFrame) -> DataFrame:
+    """Documents per term. Repeats are dropped inside the row, so only counts combined map-side
+    are shuffled: a term that is in every document arrives as one row per task."""
+    terms = tokens.select(F.explode(F.array_distinct("words")).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _corpus(tokens: DataFrame) -> DataFrame:
+    return tokens.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
+
+
 def build_keyword_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
-    """All index tables of a document set. Counts are combined map-side, so a term that is in
-    every document arrives as one row per task."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), X.words(F.col(text)).alias("words"))
+    """All index tables of a document set."""
+    tokens = _words(docs, doc_id, text)
     postings = tokens.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(
         F.count("*").alias("tf"))
-    lengths = tokens.select("doc_id", F.size("words").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return KeywordIndex(postings, lengths, term_weights(counts, corpus), corpus)
+    corpus = _corpus(tokens)
+    terms = term_weights(_document_frequencies(tokens), corpus)
+    return KeywordIndex(postings, tokens.select("doc_id", F.size("words").alias("dl")), terms, corpus)
 
 
-def stored_index(index: KeywordIndex) -> KeywordIndex:
-    """Index whose statistics are written once to the shared folder and read from there."""
-    return replace(
-        index, terms=materialise(index.terms, "terms"), corpus=materialise(index.corpus, "corpus"))
+def stored_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
+    """The same with its statistics written once to the shared folder, for repeated use."""
+    tokens = _words(docs, doc_id, text)
+    corpus = materialise(_corpus(tokens), "corpus")
+    counts = materialise(_document_frequencies(tokens), "counts")
+    return replace(build_keyword_index(docs, doc_id, text), terms=term_weights(counts, corpus), corpus=corpus)
 
 
 def term_weights(counts: DataFrame, corpus: DataFrame) -> DataFrame:

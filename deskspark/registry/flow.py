@@ -25,7 +25,7 @@ def flow(spark, sf_dir):
         "id", F.concat(F.lit("user"), F.col("doc_id"), F.lit("@example.com")).alias("sender"),
         "subject", "body", "received_at")
     kb = knowledge_base(spark, sf_dir)
-    known = P.Knowledge(kb, IX.stored_index(IX.build_keyword_index(kb)))
+    known = P.Knowledge(kb, IX.stored_index(kb))
     return P.mail_flow(m, typed(spark, sf_dir), known, AS_OF, ladder=FITTED, account_terms=ACCOUNT_WORDS)
 
 

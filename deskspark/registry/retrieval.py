@@ -32,7 +32,7 @@ def asking(spark, sf_dir):
 
 
 def document_index(spark, sf_dir):
-    return IX.stored_index(IX.build_keyword_index(documents(spark, sf_dir)))
+    return IX.stored_index(documents(spark, sf_dir))
 
 
 QUERIES_SQL = """queries AS (SELECT item_id AS qid, b.text, e.embedding AS vector
@@ -266,7 +266,7 @@ def knowledge_base(spark, sf_dir):
 
 def dual_hits(spark, sf_dir):
     kb = knowledge_base(spark, sf_dir)
-    ix = IX.stored_index(IX.build_keyword_index(kb))
+    ix = IX.stored_index(kb)
     parts = mails(spark, sf_dir).select("id", F.posexplode(F.array("subject", "body")).alias("part", "text"))
     q = parts.select(F.concat_ws("/", "id", F.col("part").cast("string")).alias("query_id"), "text")
     found = keyword_top(q, kb, ix.terms, ix.corpus, 1, small="items")

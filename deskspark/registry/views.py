@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskspark.session import spread
+
 CTES = {
     "mails": r"""mails AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS id,
@@ -49,8 +51,12 @@ def with_ctes(*names: str) -> str:
     return "WITH " + ",\n".join(CTES[n] for n in names) + "\n"
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,13 @@ def materialise(df, name: str):
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df):
+    """Deal rows over all cores when the input comes in fewer partitions than there are cores.
+
+    Meant for CPU-heavy work on a few small files; an input with enough splits is left alone, so a
+    large table is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
