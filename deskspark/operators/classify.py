@@ -56,7 +56,7 @@ def classify_with_model(mails: DataFrame, model_json: str, **rules) -> DataFrame
         & parsed["reasoning"].isNotNull()
     )
     ladder = keyword_class(F.col("subject"), F.col("body"), **rules)
-    shaped = F.struct(*[ladder[f].alias(f) for f in schemas.CLASSIFICATION.names])
+    shaped = F.struct(*[ladder[f].alias(f) for f in schemas.names(schemas.CLASSIFICATION)])
     picked = F.when(F.coalesce(valid, F.lit(False)), parsed).otherwise(shaped)
     origin = F.when(F.coalesce(valid, F.lit(False)), F.lit("model")).otherwise(F.lit("rules"))
     return mails.withColumns({"_class": picked, "class_origin": origin}).select(
