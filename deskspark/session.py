@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "8", memory: str = "8g", app: str = "deskspark") -> SparkSession:
@@ -26,6 +28,22 @@ def local_session(cores: str = "8", memory: str = "8g", app: str = "deskspark")
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The archive is built next to the driver; Spark's own file distribution takes it from there. Not
+    needed when the job was submitted with --py-files or the package is installed on the nodes.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="deskspark-ship-"), "deskspark")
+    spark.sparkContext.addPyFile(
+        shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder named by the cluster.
 
