@@ -49,8 +49,8 @@ def _best(scores: np.ndarray, ids: list, k: int) -> list[tuple[float, object]]:
 
 
 def _rows(found: dict) -> pd.DataFrame:
-    flat = [(q, d, s) for q, pairs in found.items() for s, d in pairs]
-    return pd.DataFrame(flat, columns=["query_id", "doc_id", "score"])
+    flat = [(q, d, s, i) for q, pairs in found.items() for i, (s, d) in enumerate(pairs, start=1)]
+    return pd.DataFrame(flat, columns=["query_id", "doc_id", "score", "rank"])
 
 
 def _slices(batch: pd.DataFrame, held: int) -> Iterator[pd.DataFrame]:
@@ -97,6 +97,7 @@ def _pass_queries(held_ids: list, score: Scorer, k: int):
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Best k of the best k of every task."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -106,6 +107,7 @@ def _out_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("doc_id", items.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
     ])
 
 
@@ -165,7 +167,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 4, small: str = "quer
         found = queries.mapInPandas(_pass_queries(held["doc_id"].tolist(), _dense(held), k), schema)
     else:
         found = _grid(queries, items, _dense, k)
-    return _ranked(found, k).select("query_id", "doc_id", F.abs("score").alias("distance"), "rank")
+    if side != "items":
+        found = _ranked(found, k)
+    return found.select("query_id", "doc_id", F.abs("score").alias("distance"), "rank")
 
 
 def _held_side(queries: DataFrame, items: DataFrame, weight: Column, small: str) -> str | None:
@@ -248,7 +252,8 @@ def keyword_top(queries: DataFrame, docs: DataFrame, terms: DataFrame, corpus: D
             columns = [block.scores(Counter(t.split())) for t in batch["text"]]
             return np.stack(columns, axis=1) if columns else np.zeros((block.size, 0))
 
-        found = queries.mapInPandas(_pass_queries(held["doc_id"].tolist(), score_queries, k), schema)
+        # each query met every document in one place, so its ranks are final: nothing to shuffle
+        return queries.mapInPandas(_pass_queries(held["doc_id"].tolist(), score_queries, k), schema)
     else:
         found = _keyword_grid(queries, docs, terms, avgdl, k)
     if distinct:

@@ -289,12 +289,13 @@ def advanced_retrieval(
 
 
 def subject_and_body_hits(hits: DataFrame) -> DataFrame:
-    """Merge the subject's and the body's top hit of each mail: equal contents once, subject first.
+    """Merge the top hits of each mail's subject (part 0) and body (part 1): (id, docs).
 
-    hits (id, part, content_key, ...), part 0 = subject, 1 = body; at most two rows per mail.
+    hits (id, part, content_key, ...), at most one per part. `docs` holds them in order, equal contents
+    once. One shuffle on the mail id, which a following join on the id reuses.
     """
-    rest = [c for c in hits.columns if c not in ("id", "content_key", "part")]
-    once = hits.groupBy("id", "content_key").agg(
-        F.min("part").alias("part"), F.min_by(F.struct(*rest), "part").alias("r"))
-    w = W.partitionBy("id").orderBy("part")
-    return once.select("id", "content_key", "r.*", F.row_number().over(w).alias("rank"))
+    rest = [c for c in hits.columns if c not in ("id", "part")]
+    both = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", *rest))).alias("docs"))
+    first = F.get("docs", F.lit(0))["content_key"]
+    once = F.filter("docs", lambda d, i: (i == 0) | (d["content_key"] != first))
+    return both.select("id", once.alias("docs"))

@@ -30,7 +30,7 @@ SLACK = 1e-9
 
 
 def set_key(words: Column) -> Column:
-    return F.md5(F.array_join(F.array_sort(words), "\n"))
+    return F.md5(F.array_join(F.sort_array(words), "\n"))
 
 
 def _prefix_size(n: Column, threshold: float) -> Column:
@@ -74,12 +74,10 @@ def first_similar(queries: DataFrame, entries: DataFrame, threshold: float = 0.8
                                                         ).withColumn("n", F.size("words"))
 
     stored = materialise(distinct_sets(entries, F.min("ord").alias("ord")), "stored")
-    longest = stored.agg(F.max("n")).first()[0]
-    asked = distinct_sets(queries)
-    if longest is None:
-        return asked.join(stored, ["category", "set_key"]).select("category", "set_key", "ord")
-    # a query larger than this cannot reach the threshold with any entry
-    asked = materialise(asked.filter(F.col("n") * threshold <= longest + SLACK), "asked")
+    # a query larger than this cannot reach the threshold with any entry, so it is not even shuffled
+    longest = stored.agg(F.max("n")).first()[0] or 0
+    asked = queries.filter(F.size("words") * threshold <= longest + SLACK)
+    asked = materialise(distinct_sets(asked), "asked")
 
     common = _common_terms(stored)
     posts = materialise(_prefix_postings(stored, common, threshold), "stored_prefix")

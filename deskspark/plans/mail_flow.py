@@ -40,7 +40,7 @@ class Knowledge:
 
 
 def dual_documents(mails: DataFrame, kb: Knowledge) -> DataFrame:
-    """Top document for subject and body of each mail: (id, rank, doc_id, score, content), rank <= 2."""
+    """Top documents for subject and body of each mail: (id, docs), at most two in order."""
     parts = mails.select("id", F.posexplode(F.array("subject", "body")).alias("part", "text"))
     asked = parts.select(F.to_json(F.struct("id", "part")).alias("query_id"), "text")
     found = keyword_top(asked, kb.docs, kb.index.terms, kb.index.corpus, 1, small="items")
@@ -74,16 +74,16 @@ def mail_flow(
     )
     texts = accounts.select(
         F.col("email").alias("sender"), A.account_summary(now).alias("account_context"))
+    # mails that need no account get a key of their own: NULL keys would all meet in one task
     asks = base.withColumn(
-        "lookup", F.when((F.col("route") == "process") & F.col("wants_account"), F.col("sender")))
+        "lookup", F.when((F.col("route") == "process") & F.col("wants_account"), F.col("sender"))
+        .otherwise(F.concat(F.lit("no lookup: "), F.col("id"))))
     rows = asks.join(texts.withColumnRenamed("sender", "lookup"), "lookup", "left").drop("lookup")
 
     searched = classed.filter(C.route(F.col("category"), F.col("confidence"), settings) == "process")
     if not settings.retrieve_for_inquiry:
         searched = searched.filter("category <> 'product_inquiry'")
     docs = dual_documents(searched.select("id", "subject", "body"), kb)
-    found = F.array_sort(F.collect_list(F.struct("rank", "content", "doc_id")))
-    docs = docs.groupBy("id").agg(found.alias("docs"))
     rows = rows.join(docs, "id", "left").withColumns({
         "document_context": F.array_join(F.transform("docs", lambda d: d["content"]), "\n\n"),
         "docs_retrieved": F.when(F.col("account_context").isNull(), F.coalesce(F.size("docs"), F.lit(0)))

@@ -274,7 +274,9 @@ def dual_hits(spark, sf_dir):
     hits = found.join(kb.withColumnRenamed("text", "content"), "doc_id").select(
         split[0].alias("id"), split[1].cast("int").alias("part"), F.md5("content").alias("content_key"),
         "doc_id", "score", "content")
-    return F_.subject_and_body_hits(hits).withColumn("source", F.concat(F.lit("item "), F.col("doc_id")))
+    docs = F_.subject_and_body_hits(hits).select("id", F.posexplode("docs").alias("pos", "d"))
+    return docs.select("id", (F.col("pos") + 1).alias("rank"), "d.doc_id", "d.score", "d.content",
+                       F.concat(F.lit("item "), F.col("d.doc_id")).alias("source"))
 
 
 @register("dual_retrieve", DUAL_SQL + "SELECT id, rank, doc_id, score FROM dual")

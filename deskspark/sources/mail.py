@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from deskspark import schemas
 from deskspark.functions import text as X
 from deskspark.operators import mail as M
+from deskspark.session import materialise
 
 
 def read_json_mails(spark: SparkSession, folder: str, as_of: str) -> tuple[DataFrame, DataFrame]:
     """All *.json files of a folder as mails, plus the rejected files.
 
-    A missing id becomes email_NNN by the file's place in name order. Numbering is done on the file
-    names alone, which are few next to the texts. A file without sender, subject or body is rejected.
+    A missing id becomes email_NNN by the file's place in name order among the accepted ones. A file
+    without sender, subject or body is rejected.
     """
     raw = (
         spark.read.schema(schemas.EMAIL_JSON).option("multiLine", True)
@@ -24,15 +25,30 @@ def read_json_mails(spark: SparkSession, folder: str, as_of: str) -> tuple[DataF
     )
     required = F.col("sender").isNotNull() & F.col("subject").isNotNull() & F.col("body").isNotNull()
     good, rejects = raw.filter(required), raw.filter(~required | required.isNull())
-    place = F.row_number().over(W.orderBy("file"))
-    numbered = good.select("file").withColumn("auto_id", F.format_string("email_%03d", place))
-    mails = good.join(numbered, "file").select(
+    places = numbered(good.select("file"), "file").select("file", F.format_string("email_%03d", "place").alias("auto_id"))
+    mails = good.join(places, "file").select(
         F.coalesce(X.blank_to_null(F.col("id")), "auto_id").alias("id"), "sender", "subject", "body",
         F.lit(as_of).cast("timestamp_ntz").alias("received_at"), F.lit(None).cast("string").alias("thread_id"),
     )
     return mails, rejects.select("file", "id", "sender", "subject", "body")
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Add `place`, the row's number in the order of a unique column.
+
+    Rows are cut into ranges, numbered inside each, and shifted by the sizes of the ranges before; only
+    those sizes, one per range, are ever seen together.
+    """
+    ranges = materialise(
+        df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_range", before.alias("_before"))
+    within = F.row_number().over(W.partitionBy("_range").orderBy(order))
+    joined = ranges.withColumn("_within", within).join(F.broadcast(shifts), "_range")
+    return joined.withColumn("place", F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
+
+
 def mailbox_mails(messages: DataFrame, parts: DataFrame, as_of: str) -> DataFrame:
     """Exported mailbox messages (id, thread_id, headers, labels, tabs) and their parts as mails."""
     heads = F.col("headers")

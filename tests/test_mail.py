@@ -113,3 +113,9 @@ def test_defaults(spark):
     df = spark.createDataFrame([("1", "", None, None)], "id string, subject string, sender string, thread_id string")
     r = M.with_defaults(df).first()
     assert (r.subject, r.sender, r.thread_id) == ("No Subject", "Unknown", "1")
+
+
+def test_numbering_over_ranges(spark):
+    df = spark.range(1000).select(F.format_string("f%05d", 1000 - F.col("id")).alias("file")).repartition(7)
+    got = [(r.file, r.place) for r in S.numbered(df, "file").orderBy("file").collect()]
+    assert got == [(f"f{i:05d}", i) for i in range(1, 1001)]
