@@ -123,13 +123,15 @@ def _grid(queries: DataFrame, items: DataFrame, make: Callable[[pd.DataFrame], S
         return df.withColumn(mine, number).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
+    # both sides may come from one table; names of its own keep their columns apart in the cogroup
+    mine = items.select([F.col(c).alias(f"item_{c}") for c in items.columns])
     left = dealt(queries, "query_id", "qb", nq, "ib", ni).groupBy("qb", "ib")
-    right = dealt(items, "doc_id", "ib", ni, "qb", nq).groupBy("qb", "ib")
+    right = dealt(mine, "item_doc_id", "ib", ni, "qb", nq).groupBy("qb", "ib")
 
     def cell(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ds.empty:
             return _rows({})
-        ds = ds.drop_duplicates("doc_id")
+        ds = ds.rename(columns=lambda c: c.removeprefix("item_")).drop_duplicates("doc_id")
         matrix, ids = make(qs)(ds), ds["doc_id"].tolist()
         return _rows({q: _best(matrix[i], ids, k) for i, q in enumerate(qs["query_id"])})
 
@@ -182,24 +184,35 @@ def _held_side(queries: DataFrame, items: DataFrame, weight: Column, small: str)
 # ---- sparse keyword vectors ---------------------------------------------------------------
 
 class TermBlock:
-    """Held side as term -> (row numbers, weights)."""
+    """Held side as a sparse term x row table; scores a batch of passing rows at once."""
 
     def __init__(self, rows: list[dict[str, float]]):
-        lists: dict[str, tuple[list, list]] = {}
-        for i, row in enumerate(rows):
-            for term, weight in row.items():
-                at, w = lists.setdefault(term, ([], []))
-                at.append(i)
-                w.append(weight)
         self.size = len(rows)
-        self.lists = {t: (np.array(at), np.array(w)) for t, (at, w) in lists.items()}
-
-    def scores(self, weights: dict[str, float]) -> np.ndarray:
-        out = np.zeros(self.size)
-        for term, weight in weights.items():
-            hit = self.lists.get(term)
-            if hit is not None:
-                out[hit[0]] += hit[1] * weight
+        self.terms = {t: i for i, t in enumerate(sorted({t for r in rows for t in r}))}
+        at = [(self.terms[t], i, w) for i, r in enumerate(rows) for t, w in r.items()]
+        at.sort()
+        cells = np.array(at, dtype=np.float64).reshape(len(at), 3)
+        self.rows, self.weights = cells[:, 1].astype(np.int64), cells[:, 2]
+        self.starts = np.searchsorted(cells[:, 0], np.arange(len(self.terms) + 1))
+
+    def scores(self, passing: list[dict[str, float]]) -> np.ndarray:
+        """One row per held row, one column per passing row; NaN where nothing is shared."""
+        term, col, weight = [], [], []
+        for j, row in enumerate(passing):
+            for t, w in row.items():
+                number = self.terms.get(t)
+                if number is not None:
+                    term.append(number)
+                    col.append(j)
+                    weight.append(w)
+        term = np.array(term, dtype=np.int64)
+        first, last = self.starts[term], self.starts[term + 1]
+        count = last - first
+        # one entry per (passing term, held row): run numbers first..last of every term, laid end to end
+        run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        cell = self.rows[run] * len(passing) + np.repeat(np.array(col, dtype=np.int64), count)
+        value = self.weights[run] * np.repeat(np.array(weight), count)
+        out = np.bincount(cell, weights=value, minlength=self.size * len(passing)).reshape(self.size, len(passing))
         return np.where(out > 0, out, np.nan)
 
 
@@ -238,8 +251,7 @@ def keyword_top(queries: DataFrame, docs: DataFrame, terms: DataFrame, corpus: D
         block = TermBlock([_query_weights(t, idf) for t in held["text"]])
 
         def score_docs(batch: pd.DataFrame) -> np.ndarray:
-            columns = [block.scores(_doc_weights(t, avgdl, block.lists)) for t in batch["text"]]
-            return np.stack(columns, axis=1) if columns else np.zeros((block.size, 0))
+            return block.scores([_doc_weights(t, avgdl, block.terms) for t in batch["text"]])
 
         found = docs.mapInPandas(_pass_items(held["query_id"].tolist(), score_docs, k), schema)
     elif side == "items":
@@ -249,8 +261,7 @@ def keyword_top(queries: DataFrame, docs: DataFrame, terms: DataFrame, corpus: D
         ])
 
         def score_queries(batch: pd.DataFrame) -> np.ndarray:
-            columns = [block.scores(Counter(t.split())) for t in batch["text"]]
-            return np.stack(columns, axis=1) if columns else np.zeros((block.size, 0))
+            return block.scores([Counter(t.split()) for t in batch["text"]])
 
         # each query met every document in one place, so its ranks are final: nothing to shuffle
         return queries.mapInPandas(_pass_queries(held["doc_id"].tolist(), score_queries, k), schema)
@@ -272,8 +283,7 @@ def _keyword_grid(queries: DataFrame, docs: DataFrame, terms: DataFrame, avgdl:
         block = TermBlock([dict(w) for w in held["weights"]])
 
         def score(batch: pd.DataFrame) -> np.ndarray:
-            return np.stack(
-                [block.scores(_doc_weights(t, avgdl, block.lists)) for t in batch["text"]], axis=1)
+            return block.scores([_doc_weights(t, avgdl, block.terms) for t in batch["text"]])
 
         return score
 
