@@ -22,7 +22,7 @@ from deskspark import rules as R
 
 MAX_SMALL_ROWS = 50_000
 MAX_SMALL_BYTES = 64 << 20
-MAX_CELLS = 4_000_000
+MAX_CELLS = 250_000
 BLOCK_ROWS = 2_000
 DIGITS = 9
 

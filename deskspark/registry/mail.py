@@ -161,7 +161,9 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-@register("row_json")
+@register("row_json", with_ctes("mails") + """
+SELECT id, CAST(json_object('id', id, 'sender', sender, 'subject', subject, 'body', body,
+  'received_at', strftime(received_at, '%Y-%m-%dT%H:%M:%S')) AS VARCHAR) AS json FROM mails""")
 def row_json(spark, sf_dir):
     m = mails(spark, sf_dir)
     return m.select("id", M.row_json("received_at", "id", "sender", "subject", "body").alias("json"))
