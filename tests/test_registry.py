@@ -10,6 +10,8 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 ORACLES = entry.oracle_sql()
+# in the smallest tables every earlier near copy is past the cache lifetime: SQL finds none either
+EMPTY_HERE = {"cache_fuzzy"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def test_query(spark, con, name):
         return
     problems, rows, *_ = compare(spark, con, SF, fn, ORACLES[name])
     assert not [p for p in problems if not p.startswith("note")], problems
-    assert rows > 0
+    assert rows > 0 or name in EMPTY_HERE
 
 
 def test_entry(spark):
