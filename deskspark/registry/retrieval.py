@@ -7,10 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from deskspark import rules as R
-from deskspark.functions import text as X
 from deskspark.operators import index as IX
 from deskspark.operators import retrieval as F_
-from deskspark.operators.ranking import DIGITS, keyword_top, nearest
+from deskspark.operators.ranking import keyword_top, nearest
 from deskspark.registry import register
 from deskspark.registry.corpus import WORDS_SQL, stats_ctes
 from deskspark.registry.views import any_contains, mails, sql_strip, table, with_ctes
@@ -35,6 +34,11 @@ def document_index(spark, sf_dir):
     return IX.stored_index(documents(spark, sf_dir))
 
 
+def rounded(df, column="score"):
+    """Reported score. The mean idf is a sum over all terms in no fixed order: its last digits are noise."""
+    return df.withColumn(column, F.round(column, 6))
+
+
 QUERIES_SQL = """queries AS (SELECT item_id AS qid, b.text, e.embedding AS vector
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
 
@@ -89,29 +93,30 @@ def knn_filtered(spark, sf_dir):
     return nearest(q, items, 4)
 
 
-@register("bm25", f"WITH {QUERIES_SQL}, {stats_ctes()}, {kw_cte()}, {kw_top_cte(10)} SELECT qid AS query_id, doc_id, score, rank FROM kw_top")
+@register("bm25", f"WITH {QUERIES_SQL}, {stats_ctes()}, {kw_cte()}, {kw_top_cte(10)} SELECT qid AS query_id, doc_id, round(score, 6) AS score, rank FROM kw_top")
 def bm25(spark, sf_dir):
     ix = document_index(spark, sf_dir)
-    return keyword_top(asking(spark, sf_dir), documents(spark, sf_dir), ix.terms, ix.corpus, 10)
+    found = keyword_top(asking(spark, sf_dir), documents(spark, sf_dir), ix.terms, ix.corpus, 10)
+    return rounded(found)
 
 
 @register("score_fusion", f"""WITH {QUERIES_SQL}, {stats_ctes()}, {near_cte(8)}, {kw_cte()}, {kw_top_cte(10)},
 n AS (SELECT qid, doc_id, score / max(score) OVER (PARTITION BY qid) AS kw FROM kw_top)
 SELECT coalesce(near.qid, n.qid) AS query_id, coalesce(near.doc_id, n.doc_id) AS doc_id,
-  round(0.5 * coalesce(1 / (1 + d), 0) + 0.5 * coalesce(kw, 0), 9) AS fused
+  round(0.5 * coalesce(1 / (1 + d), 0) + 0.5 * coalesce(kw, 0), 6) AS fused
 FROM near FULL JOIN n ON near.qid = n.qid AND near.doc_id = n.doc_id""")
 def score_fusion(spark, sf_dir):
     q, ix = asking(spark, sf_dir), document_index(spark, sf_dir)
     sem = nearest(q, vectors(spark, sf_dir), 8).select("query_id", "doc_id", F_.similarity(F.col("distance")).alias("semantic"))
     kw = keyword_top(q, documents(spark, sf_dir), ix.terms, ix.corpus, 10)
     kw = F_.max_normalised(kw).select("query_id", "doc_id", F.col("score").alias("keyword"))
-    return F_.fuse(sem, kw, 0.5).withColumn("fused", F.round("fused", DIGITS))
+    return rounded(F_.fuse(sem, kw, 0.5), "fused")
 
 
-@register("hybrid_search", f"WITH {QUERIES_SQL}, {stats_ctes()}, {hybrid_cte(4, 0.7)} SELECT qid AS query_id, doc_id, score, rank FROM hybrid")
+@register("hybrid_search", f"WITH {QUERIES_SQL}, {stats_ctes()}, {hybrid_cte(4, 0.7)} SELECT qid AS query_id, doc_id, round(score, 6) AS score, rank FROM hybrid")
 def hybrid_search(spark, sf_dir):
-    return F_.hybrid_search(asking(spark, sf_dir), documents(spark, sf_dir), vectors(spark, sf_dir),
-                            document_index(spark, sf_dir), 4, 0.7)
+    return rounded(F_.hybrid_search(asking(spark, sf_dir), documents(spark, sf_dir), vectors(spark, sf_dir),
+                                    document_index(spark, sf_dir), 4, 0.7))
 
 
 RRF_CTE = """fused AS (SELECT qid, ck, round(sum(1.0 / (60 + rank)), 9) AS score, min((list_id, rank)) AS seen, arg_min(doc_id, (list_id, rank)) AS doc_id
@@ -214,12 +219,13 @@ c AS (SELECT h.qid, h.doc_id, h.rank, h.score, q.original, d.text, round({covera
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n > 2 THEN s END DESC, rank) AS INTEGER) AS place FROM c),
 cut AS (SELECT qid AS query_id, place AS rank, doc_id, CASE WHEN n > 2 THEN round(1 - s, 9) ELSE score END AS score, original, text FROM r WHERE place <= 2),
 {compress_cte('cut', 'original', 'text', 4, 'query_id, rank, doc_id, score', 'done')}
-SELECT * FROM done""")
+SELECT * REPLACE (round(score, 6) AS score) FROM done""")
 def retrieve_standard(spark, sf_dir):
     q = asking(spark, sf_dir)
     kind = F.col("query_id") % 3
     q = q.withColumn("rewrite", F.when(kind == 0, F.substring("text", 1, 120)).when(kind == 1, F.lit("too short")))
-    return F_.standard_retrieval(q, documents(spark, sf_dir), vectors(spark, sf_dir), document_index(spark, sf_dir), 2)
+    found = F_.standard_retrieval(q, documents(spark, sf_dir), vectors(spark, sf_dir), document_index(spark, sf_dir), 2)
+    return rounded(found)
 
 
 @register("retrieve_advanced", f"""WITH base AS (SELECT item_id, b.text, e.embedding AS vector, replace(b.text, '. ', chr(10)) AS lines
@@ -279,9 +285,9 @@ def dual_hits(spark, sf_dir):
                        F.concat(F.lit("item "), F.col("d.doc_id")).alias("source"))
 
 
-@register("dual_retrieve", DUAL_SQL + "SELECT id, rank, doc_id, score FROM dual")
+@register("dual_retrieve", DUAL_SQL + "SELECT id, rank, doc_id, round(score, 6) AS score FROM dual")
 def dual_retrieve(spark, sf_dir):
-    return dual_hits(spark, sf_dir).select("id", "rank", "doc_id", "score")
+    return rounded(dual_hits(spark, sf_dir).select("id", "rank", "doc_id", "score"))
 
 
 @register("context_text", DUAL_SQL + """

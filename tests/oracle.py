@@ -24,7 +24,7 @@ def connect(sf_dir: str):
 
 def _canon(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(float(f"{value:.10g}") + 0.0)
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     if isinstance(value, bool):
         return str(value)
     return repr(value)
