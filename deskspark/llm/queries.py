@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskspark.llm import bpe, exact_dedup, langid, mixing, simhash, url_filter
+from deskspark.llm import bpe, exact_dedup, langid, lm, mixing, simhash, url_filter
 from deskspark.llm.common import table
 from deskspark.session import ship
 
@@ -98,6 +98,12 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.fit(docs))
+
+
 @register("op8_exact_dedup", """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
