@@ -16,10 +16,9 @@ Words have exact counts. Those with a relative frequency of at least 1 / WORDS (
 broadcast as sorted arrays; the rest of a text's words are joined with their counts by a shuffle, after the
 text's copies of a word were added up.
 
-Score. P(w | v) = (1 - L) * P(w) + L * (c(v w) - D) / c(v) for a pair in the filter, P(w) = (c(w) + 1) / (N + V + 1),
-with the pair's dequantised count and L the weight of the pair model; a pair not in the filter has
-P(w | v) = P(w) without a discount of the rest's mass, as does every word whose v is not among the broadcast
-words. The text's score is the sum of log10 P, its first word being scored by P(w).
+Score. P(w | v) = (1 - L) * P(w) + L * c(v w) / c(v) with P(w) = (c(w) + 1) / (N + V + 1), where c(v w) is the
+pair's dequantised count, 0 if it is not held; L is the weight of the pair model. A text's first word and words
+after one that is not among the broadcast words are scored by P(w). The text's score is the sum of log10 P.
 
 Null and empty texts are one end mark. A null id counts as neither held out nor trained on. Repeated rows are
 trained on and scored as often as they come; rows that share an id are told apart by their text.
@@ -47,8 +46,7 @@ WORDS = 1 << 20
 FLUSH = 1 << 21
 #: Words remembered by hash in a task.
 CACHE = 300_000
-PAIR_WEIGHT = 0.6
-DISCOUNT = 0.5
+PAIR_WEIGHT = 0.4
 END = b"\x00"
 MOD, LEFT_OUT = 7, 2
 
@@ -263,7 +261,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int =
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text: str = "text",
-          pair_weight: float = PAIR_WEIGHT, discount: float = DISCOUNT) -> DataFrame:
+          pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     The scan gives a text's sums over its frequent words and, one entry for each, its other words with their
@@ -284,13 +282,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
                 base = np.where(known, m.log_p(count), 0.0)
                 # P(w | v) where v is frequent and the pair is held; w's own P comes later if w is rare
                 before = np.concatenate(([0], count[:-1]))
-                pair = np.where(inner & (before > 0), 1, 0).astype(bool)
-                at = np.flatnonzero(pair)
-                c = np.zeros(len(h))
-                c[at] = m.pair_counts(pair_keys(h[at - 1], h[at]))
-                ratio = np.where(c > 0, np.minimum(1.0, np.maximum(c - discount, 0.1) / np.maximum(before, 1)), 0.0)
+                at = np.flatnonzero(inner & (before > 0))
+                # c(v w) / c(v), -1 where there is no v to go by
+                ratio = np.full(len(h), -1.0)
+                ratio[at] = np.minimum(1.0, m.pair_counts(pair_keys(h[at - 1], h[at])) / before[at])
                 p = (count + 1.0) / (m.tokens + m.distinct + 1.0)
-                full = np.log10(np.where(c > 0, (1 - pair_weight) * p + pair_weight * ratio, p))
+                full = np.log10(np.where(ratio >= 0, (1 - pair_weight) * p + pair_weight * ratio, p))
                 model_score = np.where(known, full, 0.0)
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
                 # rare words: (row, word, ratio) with the number of occurrences
@@ -316,7 +313,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
     met = words.join(rare, words["keys"] == rare["key"], "left") \
         .select("row", "ratios", "times", F.coalesce("n", F.lit(0)).alias("n"))
     p = (F.col("n") + 1.0) / float(model.tokens + model.distinct + 1)
-    mixed = F.when(F.col("ratios") > 0, F.lit(1 - pair_weight) * p + F.lit(pair_weight) * F.col("ratios")).otherwise(p)
+    mixed = F.when(F.col("ratios") >= 0, F.lit(1 - pair_weight) * p + F.lit(pair_weight) * F.col("ratios")).otherwise(p)
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(p)).alias("more_base"), F.sum(F.col("times") * F.log10(mixed)).alias("more"))
