@@ -6,8 +6,9 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deskspark.llm import bpe, exact_dedup, langid, lm, mixing, simhash, url_filter
+from deskspark.llm import bpe, exact_dedup, langid, line_dedup, lm, mixing, simhash, url_filter
 from deskspark.llm.common import table
 from deskspark.session import ship
 
@@ -93,6 +94,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
 
 
+@register("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, the dropped ones and the digest of what is left."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register("op6_simhash_dedup")
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
