@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A text is cut at line feeds. A line is its words (runs without white space), A-Z lower-cased; lines without a
+A text is cut at line feeds. A line is its words (runs without white space), lower-cased; lines without a
 word are kept as they are and never compared. A line is dropped if an earlier line, by (id, line number), has
 the same words, or words within an edit distance of one: one word changed, added or left out. That bound
 holds for lines of MIN_WORDS words or more, so two such lines are at least 0.8 alike; shorter lines are only
@@ -27,68 +27,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.functions.text import let
-from deskspark.llm.common import ascii_lower, filled, slot_table, with_hit
+from deskspark.llm.common import filled, slot_table, with_hit
 from deskspark.session import materialise
 
 MIN_WORDS = 5
-#: White space between words.
-GAP = r"[\x20\x09-\x0D]+"
+#: White space other than blanks.
+BLANKS = ("\t", "\x0b", "\f", "\r")
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(ascii_lower(line), GAP), lambda w: w != "")
+def normal(line: Column) -> Column:
+    """The words of a line, lower-cased, with one blank between them."""
+    for c in BLANKS:
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    single = let(line, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
+    return F.lower(F.trim(single))
 
 
-def _hash(words: Column) -> Column:
-    """96 bits of a word sequence in two numbers."""
-    text = F.array_join(words, " ")
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.hash(text), F.reverse(text)).alias("b"))
+def count_words(t: Column) -> Column:
+    return F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1
+
+
+def _hash(t: Column) -> Column:
+    """96 bits of a line in two numbers."""
+    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), F.hash(t), F.reverse(t)).alias("b"))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, words): every line with a word; place is (null id, id, line number from 0)."""
+    """(place, words): every line with a word, normalised; place is (null id, id, line number from 0)."""
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(filled(F.col(text)), "\n")).alias("line", "part"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "line")
-    return cut.select(place.alias("place"), line_words(F.col("part")).alias("words")).where(F.size("words") > 0)
+    return cut.select(place.alias("place"), normal(F.col("part")).alias("words")).where("words <> ''")
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the halves that a line shares with one of its length, one word shorter or one word longer."""
-    n = F.size(words)
+def _first(t: Column, n: Column) -> Column:
+    return F.call_function("substring_index", t, F.lit(" "), n)
 
+
+def _halves(t: Column) -> Column:
+    """Keys of the halves that a line shares with one of its length, one word shorter or one word longer."""
     def keys(shorter: Column) -> list[Column]:
         # the shorter line has `shorter` words, of which the first h and the last shorter - h are its halves
         h = F.floor(shorter / 2).cast("int")
-        return [
-            F.xxhash64(F.lit("first"), shorter, F.array_join(F.slice(words, F.lit(1), h), " ")),
-            F.xxhash64(F.lit("last"), shorter, F.array_join(F.slice(words, n - (shorter - h) + 1, shorter - h), " ")),
-        ]
+        return [F.xxhash64(F.lit("first"), shorter, _first(t, h)), F.xxhash64(F.lit("last"), shorter, _first(t, h - shorter))]
 
-    return F.array(*keys(n), *keys(n - 1))
+    return let(count_words(t), lambda n: F.array(*keys(n), *keys(n - 1)))
 
 
-def _without(words: Column, i: Column) -> Column:
-    return F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words)))
+def _without(t: Column, n: Column, i: Column) -> Column:
+    """A line of n > 1 words without its i-th."""
+    return F.when(i == 1, _first(t, 1 - n)).when(i == n, _first(t, n - 1)) \
+        .otherwise(F.concat(_first(t, i - 1), F.lit(" "), _first(t, i - n)))
 
 
-def _variants(words: Column) -> Column:
+def _variants(t: Column) -> Column:
     """(key, role): 0 the line itself, 1 the line with a word left out, 2 the same with the word's position."""
-    def of(w: Column) -> Column:
-        deleted = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: let(
-            F.xxhash64(F.array_join(_without(w, i), " ")), lambda h: F.array(
+    def of(n: Column) -> Column:
+        deleted = F.transform(F.sequence(F.lit(1), n), lambda i: let(
+            F.xxhash64(_without(t, n, i)), lambda h: F.array(
                 F.struct(h.alias("key"), F.lit(1).alias("role")),
                 F.struct(F.xxhash64(h, i).alias("key"), F.lit(2).alias("role")))))
-        itself = F.array(F.struct(F.xxhash64(F.array_join(w, " ")).alias("key"), F.lit(0).alias("role")))
+        itself = F.array(F.struct(F.xxhash64(t).alias("key"), F.lit(0).alias("role")))
         return F.concat(itself, F.flatten(deleted))
 
-    return let(words, of)
+    return let(count_words(t), of)
 
 
 def within_one(x: Column, y: Column) -> Column:
     """Is the edit distance of two word sequences one at most?"""
     def longer(a: Column, b: Column) -> Column:
         # b is a with one word left out
-        return F.exists(F.sequence(F.lit(1), F.size(a)), lambda i: _without(a, i) == b)
+        return F.exists(F.sequence(F.lit(1), F.size(a)), lambda i: F.concat(
+            F.slice(a, F.lit(1), i - 1), F.slice(a, i + 1, F.size(a))) == b)
 
     differ = F.size(F.filter(F.zip_with(x, y, lambda p, q: p != q), lambda d: d))
     return F.when(F.size(x) == F.size(y), differ <= 1).when(F.size(x) == F.size(y) + 1, longer(x, y)) \
@@ -107,6 +116,7 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     picked = materialise(picked, "line_words")
     emitted = picked.select("hash", "first", F.explode(_variants(F.col("words"))).alias("v")) \
         .select("hash", "first", "v.key", "v.role")
+    emitted = materialise(emitted, "line_variants")
     # roles 0 and 1 meet each other, role 2 meets itself
     side = (F.col("role") / 2).cast("int").alias("side")
     first_of = [F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"f{r}") for r in (0, 1, 2)]
@@ -121,7 +131,8 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
         .groupBy("hash").agg(F.min("earlier").alias("earlier"))
     words = picked.select("hash", "words", "first")
     partner = words.select(F.col("first").alias("earlier"), F.col("words").alias("partner"))
-    checked = found.join(words, "hash").join(partner, "earlier").where(within_one(F.col("words"), F.col("partner")))
+    checked = found.join(words, "hash").join(partner, "earlier") \
+        .where(within_one(F.split("words", " "), F.split("partner", " ")))
     return checked.select("hash", "earlier")
 
 
@@ -129,7 +140,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """(id, lines): per document the sorted numbers of its lines that are dropped."""
     lines = lines_of(docs, id_col, text).withColumn("hash", _hash(F.col("words")))
     none = F.array().cast("array<bigint>")
-    halves = F.when(F.size("words") >= MIN_WORDS, _halves(F.col("words"))).otherwise(none)
+    halves = F.when(count_words(F.col("words")) >= MIN_WORDS, _halves(F.col("words"))).otherwise(none)
     places = materialise(lines.select("place", "hash", halves.alias("halves")), "line_places")
     distinct = materialise(places.groupBy("hash").agg(
         F.min("place").alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n")), "distinct_lines")
