@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.llm import bpe, exact_dedup, langid, line_dedup, lm, mixing, simhash, url_filter
+from deskspark.llm import bpe, exact_dedup, langid, line_dedup, lm, mixing, simhash, suffix_dedup, url_filter
 from deskspark.llm.common import table
 from deskspark.session import ship
 
@@ -48,6 +48,11 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+@register("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @register("op3_mix_sources", r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
