@@ -15,8 +15,10 @@ from all others. The windows of an anchor occurrence are neighbours; the bytes t
    windows, and becomes a level; levels of equal size merge, so there are logarithmically many.
 3. A last scan takes each text's segments again, looks up the verdicts of those in question, and cuts.
 
-Anchors with more than HOT different segments are not gathered: the hashes of their windows are
-counted by Spark instead, which is exact as well (128 bits) and has no limit in size.
+Anchors with more than HOT different segments are cut finer: windows that begin within BLOCK bytes of each
+other, counted from the anchor, have a core of SIZE - BLOCK + 1 bytes in common, so they are gathered by (anchor,
+block, core). What still has more than CROWD members (a passage in ever new surroundings) is not gathered: the
+hashes of its windows are counted by Spark, which is exact as well (128 bits) and has no limit in size.
 
 Null and empty texts have no bytes. Rows are told apart by their position in the scan's result, so null and
 repeated ids are rows like others. Texts shorter than SIZE have no windows and stay whole.
@@ -40,6 +42,9 @@ SIZE = 200
 ANCHOR = 64
 #: Different segments of one anchor up to which they are gathered in a shard.
 HOT = 512
+#: Window starts in one block of a hot anchor, and members of a core up to which they are gathered.
+BLOCK = 16
+CROWD = 1 << 15
 #: Windows in one batch of a shard.
 BATCH = 1 << 16
 
@@ -299,7 +304,7 @@ def _slots(keys: DataFrame) -> dict[int, bytes]:
     return {r["part"]: bytes(r["bits"]) for r in found.toLocalIterator()}
 
 
-def verdicts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def verdicts(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """(anchor, segment, starts, ends): runs of repeated window starts inside a segment; null: all its windows."""
     counted = materialise(_scan(docs).groupBy("anchor", "segment").agg(F.sum("n").alias("n")), "segments")
     several = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
@@ -321,19 +326,51 @@ def verdicts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shape = "anchor long, segment long, starts array<int>, ends array<int>"
     gathered = pieces.where(F.col("kinds") <= hot).groupBy("anchor").applyInArrow(judge, shape)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 out = []
                 for key, s, piece in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns)):
+                    p = int(string_hashes(np.frombuffer(piece[:SIZE], np.uint8), ANCHOR).argmin())
+                    last = len(piece) - SIZE
+                    for g in range((p - min(p, last)) // BLOCK, p // BLOCK + 1):
+                        high = p - g * BLOCK
+                        low, up = max(0, high - BLOCK + 1), min(last, high)
+                        core = xxhash.xxh3_64_intdigest(piece[high:high - BLOCK + 1 + SIZE])
+                        out.append((key, s, g, core - (1 << 64) if core >> 63 else core, low, piece[low:up + SIZE]))
+                columns = list(zip(*out)) if out else [()] * 6
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                                 ["anchor", "segment", "block", "core", "low", "piece"])
+
+    def judge_block(table: pa.Table) -> pa.Table:
+        found = [runs(w) for w in repeated_windows(table.column("piece").to_pylist())]
+        lows = table.column("low").to_pylist()
+        return pa.table({
+            "anchor": table.column("anchor"), "segment": table.column("segment"),
+            "starts": pa.array([[x + r[0] for r in f] for x, f in zip(lows, found)], pa.list_(pa.int32())),
+            "ends": pa.array([[x + r[1] for r in f] for x, f in zip(lows, found)], pa.list_(pa.int32()))})
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                out = []
+                for key, s, low, piece in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns)):
                     for w in range(len(piece) - SIZE + 1):
                         d = xxhash.xxh3_128_digest(piece[w:w + SIZE])
-                        out.append((key, s, w, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                        out.append((key, s, low + w, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
                 columns = list(zip(*out)) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k != 2 else pa.int32()) for k, c in enumerate(columns)],
                                                  ["anchor", "segment", "w", "h1", "h2"])
 
-    spread = pieces.where(F.col("kinds") > hot).select("anchor", "segment", "piece") \
+    cut = pieces.where(F.col("kinds") > hot).select("anchor", "segment", "piece") \
+        .mapInArrow(blocks, "anchor long, segment long, block int, core long, low int, piece binary")
+    cut = materialise(cut, "blocks")
+    core = ["anchor", "block", "core"]
+    sizes = materialise(cut.groupBy(*core).agg(F.count("*").alias("size")).where("size > 1"), "cores")
+    gathered = gathered.unionByName(
+        cut.join(sizes.where(F.col("size") <= crowd), core).groupBy(*core).applyInArrow(judge_block, shape))
+    spread = cut.join(sizes.where(F.col("size") > crowd), core).select("anchor", "segment", "low", "piece") \
         .mapInArrow(windows, "anchor long, segment long, w int, h1 long, h2 long")
     spread = materialise(spread, "windows")
     again = spread.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
