@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.llm import bpe, exact_dedup, langid, line_dedup, lm, mixing, simhash, suffix_dedup, url_filter
+from deskspark.llm import ann, bpe, exact_dedup, langid, line_dedup, lm, mixing, simhash, suffix_dedup, url_filter
 from deskspark.llm.common import table
 from deskspark.session import ship
 
@@ -48,6 +48,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+@register("op1_ann_search")
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 @register("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
