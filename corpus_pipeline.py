@@ -28,9 +28,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays: five-word shingles, three bits."""
+    """Of each group of near copies one document stays, linked as in the operator's own query."""
     ship(spark)
-    return simhash.keep_one(docs, shingle=5)
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
