@@ -41,8 +41,15 @@ def active_accounts(
     )
 
 
+def one_per_address(accounts: DataFrame) -> DataFrame:
+    """Of several customers with one e-mail the smallest customer_id, so a lookup never doubles a mail."""
+    row = F.min_by(F.struct(*accounts.columns), F.col("customer_id")).alias("r")
+    return accounts.groupBy("email").agg(row).select("r.*")
+
+
 def account_360(mails: DataFrame, accounts: DataFrame, address: str = "sender") -> DataFrame:
     """Mails joined to the account whose e-mail equals the sender, case-sensitively."""
+    accounts = one_per_address(accounts)
     return mails.join(accounts, mails[address] == accounts["email"])
 
 

@@ -40,6 +40,8 @@ def decode_part(data: Column) -> Column:
 def select_body(parts: DataFrame) -> DataFrame:
     """One body per message: last non-empty plain part, else last HTML part as text.
 
+    A message of a single part is its body whatever its type.
+
     Partial aggregation keeps one candidate per message and map task, so a message with very
     many parts does not pile up in one task.
     """
@@ -49,11 +51,13 @@ def select_body(parts: DataFrame) -> DataFrame:
     latest = filled.groupBy("message_id").agg(
         F.max_by(F.when(plain, F.col("content")), F.when(plain, F.col("part_no"))).alias("plain"),
         F.max_by(F.when(html, F.col("content")), F.when(html, F.col("part_no"))).alias("html"),
+        F.max_by("content", "part_no").alias("any"),
     )
-    ids = parts.select("message_id").distinct()
+    ids = parts.groupBy("message_id").agg(F.count("*").alias("n_parts"))
     body = F.coalesce(
         X.blank_to_null(F.col("plain")),
         F.when(F.col("html") != "", X.html_text(F.col("html"))),
+        F.when((F.col("n_parts") == 1) & F.col("html").isNull(), X.blank_to_null(F.col("any"))),
         F.lit(NO_BODY),
     )
     return ids.join(latest, "message_id", "left").select("message_id", body.alias("body"))
@@ -148,27 +152,22 @@ def reference_chain(references: Column, in_reply_to: Column, message_id: Column)
 
 
 def thread_references(messages: DataFrame, own_id: Column) -> DataFrame:
-    """References and In-Reply-To of each message from its predecessor in the thread.
+    """References and In-Reply-To of each message from all messages before it in the thread.
 
-    A message names its predecessor and the thread's first message, so rows stay bounded no
-    matter how long a thread gets. The row before comes from a self-join on (thread, position),
-    which spreads one huge thread over all tasks; a window would gather it in one.
+    The chain holds every earlier id in order, whatever gaps the positions have; messages at the same
+    position are in order of their ids. What is gathered per thread are its ids only, as each chain holds
+    them anyway.
     """
     base = messages.withColumn("message_id", own_id)
-    before = base.select(
-        "thread_id", (F.col("position") + 1).alias("position"),
-        F.col("message_id").alias("in_reply_to"),
-    )
-    first = base.groupBy("thread_id").agg(F.min_by("message_id", "position").alias("root_id"))
-    joined = base.join(before, ["thread_id", "position"], "left").join(first, "thread_id")
-    return joined.withColumn(
-        "references",
-        reference_chain(
-            F.when(F.col("in_reply_to").isNotNull(), F.col("root_id")),
-            F.col("in_reply_to"),
-            F.col("message_id"),
-        ),
-    )
+    place = F.struct("position", "message_id")
+    threads = base.groupBy("thread_id").agg(F.array_sort(F.collect_set(place)).alias("__thread"))
+    joined = base.join(threads, "thread_id")
+    own = F.struct("position", "message_id")
+    earlier = F.transform(F.filter("__thread", lambda m: m < own), lambda m: m["message_id"])
+    return joined.withColumn("__earlier", earlier).withColumn("in_reply_to", F.try_element_at("__earlier", F.lit(-1))) \
+        .withColumn("references", reference_chain(
+            F.array_join("__earlier", " "), F.col("in_reply_to"), F.col("message_id"))) \
+        .drop("__thread", "__earlier")
 
 
 def normalise_body(body: Column) -> Column:

@@ -72,7 +72,7 @@ def mail_flow(
         G.customer_name(F.col("sender"), F.col("body")).alias("name"),
         G.feedback_digest(F.col("body")).alias("digest"),
     )
-    texts = accounts.select(
+    texts = A.one_per_address(accounts).select(
         F.col("email").alias("sender"), A.account_summary(now).alias("account_context"))
     # mails that need no account get a key of their own: NULL keys would all meet in one task
     asks = base.withColumn(

@@ -195,12 +195,9 @@ def msgid_norm(spark, sf_dir):
 
 
 @register("thread_refs", with_ctes("msgs") + f"""
-, n AS (SELECT id, thread_id, {NORM_SQL.format('raw_id')} AS mid,
-    lag({NORM_SQL.format('raw_id')}) OVER w AS prev,
-    first_value({NORM_SQL.format('raw_id')}) OVER w AS root
-  FROM msgs WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT id, CASE WHEN prev IS NULL THEN mid WHEN prev = root THEN root || ' ' || mid
-  ELSE root || ' ' || prev || ' ' || mid END AS refs FROM n""")
+, n AS (SELECT id, list({NORM_SQL.format('raw_id')}) OVER (
+    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chain FROM msgs)
+SELECT id, array_to_string(chain, ' ') AS refs FROM n""")
 def thread_refs(spark, sf_dir):
     m = msgs(spark, sf_dir).withColumnRenamed("turn", "position")
     out = M.thread_references(m, F.col("raw_id"))
@@ -223,22 +220,22 @@ def body_norm(spark, sf_dir):
 
 @register("outbox", with_ctes("mails", "msgs") + f"""
 , r AS (SELECT id, {NORM_SQL.format('raw_id')} AS mid, text, conv_id, turn,
-    lag({NORM_SQL.format('raw_id')}) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM msgs)
+    list({NORM_SQL.format('raw_id')}) OVER (
+      PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chain FROM msgs)
 SELECT r.id, 'user' || r.turn || '@mail.example.com' AS to_address,
   'Re: Case ' || r.conv_id AS subject, mid AS in_reply_to,
-  CASE WHEN prev IS NULL THEN mid ELSE prev || ' ' || mid END AS refs,
+  array_to_string(chain, ' ') AS refs,
   regexp_replace({BODY_NORM_SQL.format('r.text')}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS body,
   CAST(conv_id AS VARCHAR) AS thread_id
 FROM r""")
 def outbox(spark, sf_dir):
     m = msgs(spark, sf_dir)
-    prev = m.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("raw_id").alias("in_reply_to"))
-    replies = m.join(prev, ["conv_id", "turn"], "left").select(
+    threaded = M.thread_references(m.withColumn("position", F.col("turn")), F.col("raw_id"))
+    replies = threaded.select(
         "id",
         F.concat(F.lit("User <user"), F.col("turn"), F.lit("@mail.example.com>")).alias("sender"),
         F.concat(F.lit("Case "), F.col("conv_id")).alias("subject"),
-        F.col("raw_id").alias("message_id"), F.lit(None).cast("string").alias("references"),
-        "in_reply_to", F.col("text").alias("reply"), "thread_id",
+        "message_id", "references", "in_reply_to", F.col("text").alias("reply"), "thread_id",
     )
     return M.outbox(replies).withColumnRenamed("references", "refs")
 

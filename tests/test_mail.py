@@ -73,7 +73,7 @@ def test_body_selection(spark):
         ("e", 0, "text/plain", ""),
     ], "message_id string, part_no int, mime_type string, data string")
     got = {r[0]: r[1] for r in M.select_body(parts).collect()}
-    assert got == {"a": "last ?>~", "b": "two", "c": "x", "d": "No body content", "e": "No body content"}
+    assert got == {"a": "last ?>~", "b": "two", "c": "x", "d": "z", "e": "No body content"}
 
 
 def test_scan_limits_and_seen(spark):
