@@ -56,7 +56,9 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """(place, words): every line with a word, normalised; place is (null id, id, line number from 0)."""
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(filled(F.col(text)), "\n")).alias("line", "part"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "line")
-    return cut.select(place.alias("place"), normal(F.col("part")).alias("words")).where("words <> ''")
+    # asked of the words themselves, the filter would be pushed below them and normalise every line twice
+    worded = cut.where(F.ltrim("part", F.lit(" " + "".join(BLANKS))) != "")
+    return worded.select(place.alias("place"), normal(F.col("part")).alias("words"))
 
 
 def _first(t: Column, n: Column) -> Column:
