@@ -7,7 +7,8 @@ by forward-backward in chains of CHAIN words, so memory does not depend on a tex
 is the label with the largest sum of its words' posteriors, its score that label's share.
 
 Fitting takes a bounded, documented sample of labelled rows: per language the DOCS documents whose id has the
-smallest hash, and of each CHAINS chains spread evenly over the whole text. Labels are known for texts only,
+smallest hash, and of each CHAINS chains spread evenly over the whole text. They are found among the SPARE x DOCS that
+lie below a share of the hash range which follows from the label's count. Labels are known for texts only,
 so code-switched chains are made for training: every second chain is cut and goes on with one of another
 language, which is what the transitions are learned from. The sample is at most labels x DOCS x CHAINS x CHAIN
 words and the model BUCKETS x labels weights, both independent of the input.
@@ -35,6 +36,8 @@ BUCKETS = 1 << 16
 NGRAM = 4
 CHAIN = 64
 DOCS = 300
+#: Rows a label's sample is drawn from, as a multiple of the rows drawn.
+SPARE = 4
 CHAINS = 4
 STEPS = 40
 UNKNOWN = "und"
@@ -245,7 +248,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     rows = docs.where(F.col(id_col).isNotNull() & (id_hash(F.col(id_col)) % 3 != 1) & F.col(lang).isNotNull())
     hashed = rows.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"),
                          F.xxhash64(F.col(id_col)).alias("h"))
-    first = hashed.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))) \
+    # a label's smallest hashes lie below this share of the hash range; a hot label thus sends few rows to its window
+    counts = materialise(hashed.groupBy("lang").agg(F.count("*").alias("n")), "label_counts")
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * docs_per_label)) / F.col("n"))
+    low = hashed.join(counts, "lang").where(F.col("h").cast("double") <= share * F.lit(2.0 ** 64) - F.lit(2.0 ** 63))
+    first = low.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))) \
         .where(F.col("nth") <= docs_per_label).select("id").distinct()
     picked = materialise(first, "label_sample")
     texts = rows.join(picked, rows[id_col] == picked["id"], "left_semi").select(
