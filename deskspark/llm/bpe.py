@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 64
-CACHE = 400_000
+CACHE = 150_000
 #: Symbols in one padded matrix.
 BLOCK = 1 << 20
 NONE = np.int64(1) << 40
@@ -99,9 +99,10 @@ class Encoder:
             tokens[rank] = token
         self.token_bytes, self.token_starts = _packed(tokens)
         self.decimal_bytes, self.decimal_starts = _packed([b"%d," % i for i in range(len(tokens))])
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the matches remembered so far."""
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int64)
         self.starts = np.zeros(1 << 12, np.int64)
@@ -207,7 +208,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text. Matches new to the task are encoded together, so the matrices are large."""
         if len(self.known) > CACHE:
-            self._reset()
+            self.forget()
         split = [self.split(x) if x else [] for x in texts]
         places = [np.fromiter(map(self.known.get, x, repeat(-1)), np.int64, len(x)) for x in split]
         gaps = [np.nonzero(at < 0)[0] for at in places]
@@ -273,24 +274,28 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         sha = hashlib.sha256
-        for whole in batches:
-            # few rows at a time: texts may be long
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                counts, hashed, decoded, kept = [], [], [], []
-                for ids in enc.encode(batch.column(1).to_pylist()):
-                    counts.append(len(ids))
-                    hashed.append(sha(enc.decimal_text(ids)).hexdigest())
-                    decoded.append(sha(enc.decode(ids)).hexdigest())
+        try:
+            for whole in batches:
+                # few rows at a time: texts may be long
+                for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                    counts, hashed, decoded, kept = [], [], [], []
+                    for ids in enc.encode(batch.column(1).to_pylist()):
+                        counts.append(len(ids))
+                        hashed.append(sha(enc.decimal_text(ids)).hexdigest())
+                        decoded.append(sha(enc.decode(ids)).hexdigest())
+                        if keep_ids:
+                            kept.append(pa.array(ids.astype(np.int32)))
+                    columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashed, pa.string()),
+                               pa.array(decoded, pa.string())]
+                    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if keep_ids:
-                        kept.append(pa.array(ids.astype(np.int32)))
-                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashed, pa.string()),
-                           pa.array(decoded, pa.string())]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    flat = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
-                    columns.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), flat))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                        flat = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
+                        columns.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), flat))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:  # the worker lives on and serves other stages
+            enc.forget()
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

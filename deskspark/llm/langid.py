@@ -42,7 +42,7 @@ CHAINS = 4
 STEPS = 40
 UNKNOWN = "und"
 #: Words remembered in a task.
-CACHE = 300_000
+CACHE = 100_000
 #: A text is rejected when no language holds this share of its words' posteriors.
 MIN_SCORE = 0.3
 
@@ -96,6 +96,10 @@ class Crf:
     def __getstate__(self):
         return {"labels": self.labels, "weights": self.weights, "moves": self.moves, "_known": {}, "_scores": None}
 
+    def forget(self) -> None:
+        """Drop the words remembered so far."""
+        self._known, self._scores = {}, None
+
     def emissions(self, words: list[str]) -> np.ndarray:
         flat, starts = features(words)
         return np.add.reduceat(self.weights[flat], starts[:-1], axis=0)
@@ -283,11 +287,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     return train(kept)
 
 
-def _predicted(batch: pa.RecordBatch, at: int, model: Crf) -> list[tuple[str, float]]:
-    out = []
-    for i in range(0, batch.num_rows, 256):
-        out += model.predict(batch.column(at).slice(i, 256).to_pylist())
-    return out
+def _predicted(batches: Iterator[pa.RecordBatch], text: str, model: Crf) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Every batch with (language, score) of its rows."""
+    try:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            out = []
+            for i in range(0, batch.num_rows, 256):
+                out += model.predict(batch.column(at).slice(i, 256).to_pylist())
+            yield batch, out
+    finally:  # the worker lives on and serves other stages
+        model.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,8 +307,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _predicted(batch, 2, shared.value)
+        for batch, found in _predicted(batches, "text", shared.value):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()),
                 pa.array([x[1] for x in found], pa.float64())], ["id", "held_out", "lang_pred", "score"])
@@ -313,8 +323,7 @@ def keep_known(docs: DataFrame, text: str = "text", min_score: float = MIN_SCORE
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text=text, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _predicted(batch, batch.schema.get_field_index(text), shared.value)
+        for batch, found in _predicted(batches, text, shared.value):
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= min_score for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
