@@ -17,7 +17,7 @@ Components come from the forests by repeated hooking to the smallest neighbour (
 each round written to the shared folder.
 
 Null and empty texts have fingerprint zero and link like any other. Null ids take part in links and never
-name a component with ids; rows that repeat an id are rows of their own with the same component.
+name a component with ids; rows that repeat an id are rows of their own. keep_one goes by row, not by id.
 """
 
 from __future__ import annotations
@@ -213,10 +213,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; columns as they came.
+    """One row of each component stays, the one with the smallest id; columns as they came.
 
-    Documents whose id is null all stay when nothing in their component has an id.
+    Null ids come last; of rows with the same id the first row read is the smallest. Rows are told apart by a
+    written row number, so a row is never dropped for another row's text.
     """
-    drop = materialise(near_duplicates(docs, id_col, text, **how)
-                       .where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")), "dropped_ids")
-    return docs.join(drop.distinct(), docs[id_col].eqNullSafe(drop["__id"]), "left_anti")
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered_documents")
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    drop = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **how) \
+        .where("key.row <> component_id.row").select(F.col("key.row").alias("__row"))
+    return rows.join(materialise(drop, "dropped_rows"), "__row", "left_anti").select(*docs.columns)

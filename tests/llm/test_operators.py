@@ -190,6 +190,15 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    rng = random.Random(12)
+    t = [sentence(rng, 60) for _ in range(6)]
+    rows = [(1, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (7, t[3]), (7, t[0]), (7, t[4]), (8, t[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(map(tuple, simhash.keep_one(df).collect()))
+    assert got == collections.Counter([(1, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4])])
+
+
 def test_trie_and_components(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2 ** 63, 300, dtype=np.uint64)
