@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 A text is cut at line feeds. A line is its words (runs without white space), lower-cased; lines without a
-word are kept as they are and never compared. A line is dropped if an earlier line, by (id, line number), has
+word are kept as they are and never compared. A line is dropped if an earlier line, by (id, row, line number), has
 the same words, or words within an edit distance of one: one word changed, added or left out. That bound
 holds for lines of MIN_WORDS words or more, so two such lines are at least 0.8 alike; shorter lines are only
 dropped as exact copies. Whether the earlier line is itself dropped makes no difference.
@@ -17,8 +17,9 @@ dropped as exact copies. Whether the earlier line is itself dropped makes no dif
    third of all lines is one row per task, and no pairs are made within it.
 4. Each line's earliest partner is looked up once more and the edit distance is verified on the words.
 
-Ids should be unique: rows that repeat an id are one document listed twice, and lines at the same place in
-them are not copies of each other. Null ids come last. Null and empty texts have one line without a word.
+Every row is a document of its own, told apart by a written row number; ids only say which is earlier. Null ids come
+last, and rows with the same id or none are in the order of their numbers. Null and empty texts have one line
+without a word.
 """
 
 from __future__ import annotations
@@ -52,10 +53,16 @@ def _hash(t: Column) -> Column:
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), F.hash(t), F.reverse(t)).alias("b"))
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, words): every line with a word, normalised; place is (null id, id, line number from 0)."""
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(filled(F.col(text)), "\n")).alias("line", "part"))
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "line")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a written row number, __row."""
+    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered_documents")
+
+
+def lines_of(rows: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(place, words): every line of numbered rows with a word, normalised; place is (null id, id, row, line from 0)."""
+    cut = rows.select(F.col(id_col).alias("id"), F.col("__row").alias("row"),
+                      F.posexplode(F.split(filled(F.col(text)), "\n")).alias("line", "part"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line")
     # asked of the words themselves, the filter would be pushed below them and normalise every line twice
     worded = cut.where(F.ltrim("part", F.lit(" " + "".join(BLANKS))) != "")
     return worded.select(place.alias("place"), normal(F.col("part")).alias("words"))
@@ -138,9 +145,9 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.select("hash", "earlier")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lines): per document the sorted numbers of its lines that are dropped."""
-    lines = lines_of(docs, id_col, text).withColumn("hash", _hash(F.col("words")))
+def dropped_lines(rows: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, lines): per numbered row the sorted numbers of its lines that are dropped."""
+    lines = lines_of(rows, id_col, text).withColumn("hash", _hash(F.col("words")))
     none = F.array().cast("array<bigint>")
     halves = F.when(count_words(F.col("words")) >= MIN_WORDS, _halves(F.col("words"))).otherwise(none)
     places = materialise(lines.select("place", "hash", halves.alias("halves")), "line_places")
@@ -152,13 +159,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
         .select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
     doubtful = materialise(doubtful, "doubtful_lines")
     gone = places.select("place", "hash").join(doubtful, "hash").where(F.col("near") | (F.col("place") != F.col("first")))
-    return gone.groupBy(F.col("place.id").alias("id")).agg(F.array_sort(F.collect_set("place.line")).alias("lines"))
+    return gone.groupBy(F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Add n_lines, n_dropped and kept_text (the other lines joined by line feeds; all dropped: empty)."""
-    gone = materialise(dropped_lines(docs, id_col, text), "dropped_lines")
-    flagged = with_hit(docs, slot_table(gone, F.col("id")), "__hit", F.col(id_col))
+    rows = numbered(docs)
+    gone = materialise(dropped_lines(rows, id_col, text), "dropped_lines")
+    flagged = with_hit(rows, slot_table(gone, F.col("row")), "__hit", F.col("__row"))
     cut = F.split(filled(F.col(text)), "\n")
 
     def result(df: DataFrame, lines: Column) -> DataFrame:
@@ -171,6 +179,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         *docs.columns, F.size(cut).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"),
         filled(F.col(text)).alias("kept_text"))
     met = flagged.where("__hit").join(
-        gone.select(F.col("id").alias("__id"), F.col("lines").alias("__lines")), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+        gone.select(F.col("row").alias("__row"), F.col("lines").alias("__lines")), "__row", "left")
     return untouched.unionByName(result(met, F.coalesce("__lines", none)))
 

@@ -164,6 +164,18 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_null_and_repeated_ids(spark):
+    # (id to order by, text); null ids come last, equal ids in the order of the rows
+    rows = [(1, "a b c d e f g"), (None, "k l m n o\nclean p q r s t\nu v w x y z"), (None, "a b c d e f g\na b c d e f g\nown line of this one"),
+            (None, "k l m n o\nsome other line stays here"), (5, "i j k l m n\nfirst of its id"), (5, "own text of the id\nfirst of its id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df).collect()]
+    ranked = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    want = brute.line_dedup([(at, rows[k][1]) for at, k in enumerate(ranked)])
+    assert sorted((a, b, hashlib.sha256(c.encode()).hexdigest()) for a, b, c in got) == sorted(want.values())
+    assert all(b <= a for a, b, _ in got)
+
+
 def test_simhash(docs, rows, empty):
     import xxhash
 
