@@ -16,6 +16,10 @@ spanning forest of each group's links instead of all pairs, so the output is lin
 Components come from the forests by repeated hooking to the smallest neighbour (large star, small star),
 each round written to the shared folder.
 
+keep_unlike is the near-copy stage of the pipeline: shingles of WIDE_SHINGLE words and a budget of WIDE_BUDGET bits only
+propose groups, and a row is dropped only if its shingle set is ALIKE or more (Jaccard) like that of a row that stays. No two
+rows of a proposed group that stay are that much alike. What SimHash does not propose is kept; README has the recall.
+
 Null and empty texts have fingerprint zero and link like any other. Null ids take part in links and never
 name a component with ids; rows that repeat an id are rows of their own. keep_one goes by row, not by id.
 """
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskspark.session import materialise
@@ -37,6 +41,11 @@ SHINGLE = 3
 BUDGET = 3
 BLOCKS = 5
 SEED = 42
+#: For keep_unlike: 66 tries over two of twelve blocks, and the least Jaccard similarity as a fraction.
+WIDE_SHINGLE, WIDE_BUDGET, WIDE_BLOCKS = 5, 10, 12
+ALIKE = (4, 5)
+#: Groups of up to CROWD rows are judged in one task; of larger ones the first HEADS rows a round.
+CROWD, HEADS = 512, 16
 #: Node pairs expanded at a time inside a task.
 FRONTIER = 1 << 20
 
@@ -44,12 +53,12 @@ FRONTIER = 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash; a bit is set if it is set in over half of the shingles' XXH64, repeats included."""
+def digests(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
+    """XXH64 of every shingle of a text, repeats included."""
     # of bytes, lower() changes A-Z only and split() parts at \x20 and \x09-\x0D only
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
         stops, starts = [len(joined)], [0]
@@ -58,9 +67,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts = [0, *(ends[:len(words) - shingle] + 1).tolist()]
         stops = [*ends[shingle - 1:].tolist(), len(joined)]
     hashed = xxhash.xxh64_digest
-    lanes = np.frombuffer(b"".join([hashed(joined[a:b], SEED) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8)
+    return [hashed(joined[a:b], SEED) for a, b in zip(starts, stops)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash; a bit is set if it is set in over half of the shingles' XXH64, repeats included."""
+    hashed = digests(text, shingle)
+    if not hashed:
+        return 0
+    lanes = np.frombuffer(b"".join(hashed), np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashed)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -149,6 +166,22 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def reached(fps: np.ndarray, budget: int) -> np.ndarray:
+    """As forest over all pairs within the budget, for budgets too wide for a trie to prune.
+
+    Breadth first: what is reached is never compared with what was reached before, so a dense cluster is linear.
+    """
+    root, left = np.arange(len(fps)), np.arange(len(fps))
+    while len(left):
+        first, edge, left = left[0], left[:1], left[1:]
+        while len(edge) and len(left):
+            step = max(1, FRONTIER // len(left))
+            hit = (np.bitwise_count(fps[edge[:step], None] ^ fps[left]) <= budget).any(axis=0)
+            root[left[hit]] = first
+            edge, left = np.concatenate((edge[step:], left[hit])), left[~hit]
+    return root
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS) -> DataFrame:
     """(a, b) links between the distinct fingerprints of (fp): a spanning forest of each group's links, a < b."""
     masks = top_masks(budget, blocks)
@@ -163,7 +196,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS) -> Da
         fps = table.column("fp").to_numpy().view(np.uint64)
         below = fps & np.uint64(~mask & (1 << 64) - 1)
         fps = fps[np.argsort(below, kind="stable")]
-        root = forest(len(fps), trie_pairs(fps, mask, budget))
+        root = reached(fps, budget) if budget > BUDGET else forest(len(fps), trie_pairs(fps, mask, budget))
         child = np.flatnonzero(root != np.arange(len(fps)))
         signed = fps.view(np.int64)
         return pa.table({"a": signed[child], "b": signed[root[child]]})
@@ -223,3 +256,94 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how)
     drop = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **how) \
         .where("key.row <> component_id.row").select(F.col("key.row").alias("__row"))
     return rows.join(materialise(drop, "dropped_rows"), "__row", "left_anti").select(*docs.columns)
+
+
+def alike(both, a, b):
+    """Is the Jaccard similarity of sets of a and b members, `both` of them shared, ALIKE at least?"""
+    return (ALIKE[0] + ALIKE[1]) * both >= ALIKE[0] * (a + b)
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(root, last, id, row, grams) of (root, last, id, row, text): the distinct hashes of a text's shingles."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                sets = [np.unique(np.frombuffer(b"".join(digests(x.as_py(), shingle)), np.int64)) for x in batch.column(4)]
+                grams = pa.array(sets, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], grams], ["root", "last", "id", "row", "grams"])
+
+    return rows.select("root", "last", "id", "row", "text").mapInArrow(
+        run, f"root long, last boolean, id {kind}, row long, grams array<long>")
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    """(root, row, kept): in order, a row is kept unless it is alike one kept before."""
+    table = table.sort_by([("last", "ascending"), ("id", "ascending"), ("row", "ascending")])
+    holders: dict[int, list[int]] = {}
+    sizes: list[int] = []
+    kept = []
+    for value in table.column("grams"):
+        grams = value.as_py()
+        shared: dict[int, int] = {}
+        for g in grams:
+            for k in holders.get(g, ()):
+                shared[k] = shared.get(k, 0) + 1
+        # an empty set is only alike an empty one, which shares nothing
+        stays = not any(alike(n, len(grams), sizes[k]) for k, n in shared.items()) and bool(grams or 0 not in sizes)
+        kept.append(stays)
+        if stays:
+            for g in grams:
+                holders.setdefault(g, []).append(len(sizes))
+            sizes.append(len(grams))
+    return pa.table({"root": table.column("root"), "row": table.column("row"), "kept": pa.array(kept, pa.bool_())})
+
+
+def unlike(sets: DataFrame) -> DataFrame:
+    """(row): the rows of shingle_sets that are alike an earlier one of their group that stays.
+
+    A large group loses its first rows and all that is alike those that stay to every round, so it is never in one
+    task and its pairs are never made.
+    """
+    gone, judged_as, k = [], "root long, row long, kept boolean", 0
+    while True:
+        size = sets.groupBy("root").agg(F.count("*").alias("n"))
+        few = sets.join(size.where(F.col("n") <= CROWD).select("root"), "root", "left_semi")
+        gone.append(materialise(few.groupBy("root").applyInArrow(_judge, judged_as).where("not kept").select("row"), f"alike_few{k}"))
+        large = materialise(size.where(F.col("n") > CROWD).select("root"), f"large_groups{k}")
+        if large.isEmpty():
+            break
+        many = sets.join(large, "root", "left_semi")
+        order = Window.partitionBy("root").orderBy("last", "id", "row")
+        first = many.select("root", "last", "id", "row").withColumn("k", F.row_number().over(order)).where(F.col("k") <= HEADS)
+        heads = many.join(first.select("row"), "row", "left_semi")
+        judged = materialise(heads.groupBy("root").applyInArrow(_judge, judged_as), f"judged{k}")
+        leads = many.join(judged.where("kept").select("row"), "row", "left_semi").select("root", F.col("grams").alias("lead"))
+        rest = many.join(judged.select("row"), "row", "left_anti")
+        like = alike(F.size(F.array_intersect("grams", "lead")), F.size("grams"), F.size("lead"))
+        near = materialise(rest.join(leads, "root").where(like).select("row").distinct(), f"alike{k}")
+        gone += [judged.where("not kept").select("row"), near]
+        sets = materialise(rest.join(near, "row", "left_anti"), f"open{k}")
+        k += 1
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE,
+                budget: int = WIDE_BUDGET, blocks: int = WIDE_BLOCKS) -> DataFrame:
+    """Rows stay unless their text is ALIKE or more like that of a row that stays; columns as they came.
+
+    Rows are taken by (null id, id, row number), and only those that fingerprints put in one group are compared.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered_documents")
+    near = near_duplicates(rows.select("__row", F.col(text).alias("text")), "__row", "text", shingle, budget, blocks)
+    near = materialise(near.select("__row", F.col("component_id").alias("root")), "proposed")
+    groups = near.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = rows.join(near.join(groups, "root", "left_semi"), "__row").select(
+        "root", F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("__row").alias("row"),
+        F.col(text).cast("string").alias("text"))
+    gone = unlike(materialise(shingle_sets(members, shingle), "shingle_sets"))
+    return rows.join(gone.select(F.col("row").alias("__row")), "__row", "left_anti").select(*docs.columns)
