@@ -12,13 +12,16 @@ need HELD entries at most: the filter has BITS = 8 * HELD bits. A query probes l
 miss; a false hit overstates a count by one level with a probability of about 2 %. The filter is blocked: all
 probes of a key fall into one of SEGMENTS segments, each built by one task and sent to the driver as one row.
 
+Pairs below the floor keep their exact counts in a table; a probe without a hit is joined with it by a shuffle. With
+a floor of 1 there are none, and a miss is a count of 0.
+
 Words have exact counts. Those with a relative frequency of at least 1 / WORDS (so WORDS of them at most) are
-broadcast as sorted arrays; the rest of a text's words are joined with their counts by a shuffle, after the
-text's copies of a word were added up.
+broadcast as sorted arrays; the others are joined with their counts by a shuffle, both as words and as the
+word before, after the text's equal entries were added up.
 
 Score. P(w | v) = (1 - L) * P(w) + L * c(v w) / c(v) with P(w) = (c(w) + 1) / (N + V + 1), where c(v w) is the
-pair's dequantised count, 0 if it is not held; L is the weight of the pair model. A text's first word and words
-after one that is not among the broadcast words are scored by P(w). The text's score is the sum of log10 P.
+pair's dequantised count, or its exact one below the floor; L is the weight of the pair model. A text's first word and
+words after one that was not trained on are scored by P(w). The text's score is the sum of log10 P.
 
 Null and empty texts are one end mark. A null id counts as neither held out nor trained on. Repeated rows are
 trained on and scored as often as they come; rows that share an id are told apart by their text.
@@ -237,8 +240,9 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(id_hash(id_col) % MOD == LEFT_OUT, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = HELD, words: int = WORDS) -> tuple[Model, DataFrame]:
-    """(model, rare): rare is (key, n), the exact counts of the words that are not in the model."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = HELD,
+        words: int = WORDS) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, rare, few): (key, n) each, the exact counts of the words and of the pairs that are not in the model."""
     spark = docs.sparkSession
     texts = docs.where(trained(F.col(id_col))).select(F.col(text).cast("string").alias("text"))
     raw = counts(texts)
@@ -257,15 +261,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int =
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     model = Model(bits.reshape(-1), floor_, size, keys[order], top.column("n").to_numpy()[order], n, v)
-    return model, found.where((F.col("kind") == 1) & (F.col("n") < least)).select("key", "n")
+    rare = found.where((F.col("kind") == 1) & (F.col("n") < least)).select("key", "n")
+    return model, rare, found.where((F.col("kind") == 2) & (F.col("n") < floor_)).select("key", "n")
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text: str = "text",
+def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col: str = "doc_id", text: str = "text",
           pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
-    The scan gives a text's sums over its frequent words and, one entry for each, its other words with their
-    number of occurrences; those are exploded, joined with the rare words' counts and added up by row.
+    The scan gives a text's sums over what the model alone decides and, one entry for each, its other words with the
+    word before and their number of occurrences; those are exploded, joined with the counts of rare words, of rare words
+    before and of few pairs, and added up by row. An entry that needs no such lookup has a key of no word or pair there.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -280,44 +286,60 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
                 starts = np.cumsum(sizes) - sizes
                 known = count > 0
                 base = np.where(known, m.log_p(count), 0.0)
-                # P(w | v) where v is frequent and the pair is held; w's own P comes later if w is rare
-                before = np.concatenate(([0], count[:-1]))
-                at = np.flatnonzero(inner & (before > 0))
-                # c(v w) / c(v), -1 where there is no v to go by
-                ratio = np.full(len(h), -1.0)
-                ratio[at] = np.minimum(1.0, m.pair_counts(pair_keys(h[at - 1], h[at])) / before[at])
+                # counts of the word before (-1: there is none, 0: not in the model) and of the pair (-1: to be looked up)
+                at = np.flatnonzero(inner)
+                before, pair, key = np.full(len(h), -1), np.zeros(len(h)), pair_keys(h, h)
+                before[at], key[at] = count[at - 1], pair_keys(h[at - 1], h[at])
+                held = m.pair_counts(key[at])
+                pair[at] = held if m.floor_ == 1 else np.where(held > 0, held, -1.0)
+                done = known & (before != 0) & (pair >= 0)
                 p = (count + 1.0) / (m.tokens + m.distinct + 1.0)
-                full = np.log10(np.where(ratio >= 0, (1 - pair_weight) * p + pair_weight * ratio, p))
-                model_score = np.where(known, full, 0.0)
+                ratio = np.minimum(1.0, pair / np.maximum(before, 1))
+                full = np.log10(np.where(before > 0, (1 - pair_weight) * p + pair_weight * ratio, p))
+                model_score = np.where(done, full, 0.0)
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
-                # rare words: (row, word, ratio) with the number of occurrences
-                rare_at = np.flatnonzero(~known)
-                table = np.empty(len(rare_at), [("t", np.int64), ("k", np.uint64), ("r", np.float64)])
-                table["t"], table["k"], table["r"] = text_of[rare_at], h[rare_at], ratio[rare_at]
+                rest = np.flatnonzero(~done)
+                none = _level_keys(key, 1 << 20)
+                table = np.empty(len(rest), [("t", np.int64), ("w", np.uint64), ("wn", np.int64), ("v", np.uint64),
+                                             ("vn", np.int64), ("p", np.uint64), ("pn", np.float64)])
+                table["t"], table["wn"], table["vn"], table["pn"] = text_of[rest], count[rest], before[rest], pair[rest]
+                table["w"] = np.where(known, none, h)[rest]
+                table["v"] = np.where(before == 0, np.concatenate((h[:1], h[:-1])), none)[rest]
+                table["p"] = np.where(pair < 0, key, none)[rest]
                 entry, times = np.unique(table, return_counts=True)
                 per_text = np.bincount(entry["t"], minlength=len(sizes))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(per_text))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (
-                    entry["k"].view(np.int64) if len(entry) else np.zeros(0, np.int64), entry["r"], times.astype(np.int64))]
+                columns = [np.ascontiguousarray(entry[c]) for c in ("w", "wn", "v", "vn", "p", "pn")]
+                columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (*columns, times.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model_score, starts)), *lists,
-                ], ["id", "n_tokens", "n_known", "base", "model", "keys", "ratios", "times"])
+                ], ["id", "n_tokens", "n_known", "base", "model", *parts])
 
+    parts = ["w", "wn", "v", "vn", "p", "pn", "times"]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    scanned = rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, model double, "
-                                   "keys array<long>, ratios array<double>, times array<long>")
+    scanned = rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, model double, w array<long>, "
+                                   "wn array<long>, v array<long>, vn array<long>, p array<long>, pn array<double>, times array<long>")
     scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    words = scanned.select("row", F.explode(F.arrays_zip("keys", "ratios", "times")).alias("e")) \
-        .select("row", "e.keys", "e.ratios", "e.times")
-    met = words.join(rare, words["keys"] == rare["key"], "left") \
-        .select("row", "ratios", "times", F.coalesce("n", F.lit(0)).alias("n"))
+    met = scanned.select("row", F.explode(F.arrays_zip(*parts)).alias("e")).select("row", "e.*")
+    for key, counted in (("w", rare), ("v", rare), ("p", few)):
+        if key != "p" or model.floor_ > 1:
+            met = met.join(counted.select(F.col("key").alias(key), F.col("n").alias(f"{key}_n")), key, "left")
+        else:
+            met = met.withColumn("p_n", F.lit(0))
+    word = F.when(F.col("wn") > 0, F.col("wn")).otherwise(F.coalesce("w_n", F.lit(0)))
+    before = F.when(F.col("vn") == 0, F.coalesce("v_n", F.lit(0))).otherwise(F.col("vn"))
+    pair = F.when(F.col("pn") < 0, F.coalesce("p_n", F.lit(0))).otherwise(F.col("pn"))
+    met = met.select("row", "times", (F.col("wn") == 0).alias("open"), word.alias("n"), before.alias("before"), pair.alias("pair"))
     p = (F.col("n") + 1.0) / float(model.tokens + model.distinct + 1)
-    mixed = F.when(F.col("ratios") >= 0, F.lit(1 - pair_weight) * p + F.lit(pair_weight) * F.col("ratios")).otherwise(p)
+    ratio = F.least(F.lit(1.0), F.col("pair") / F.greatest("before", F.lit(1)))
+    mixed = F.when(F.col("before") > 0, F.lit(1 - pair_weight) * p + F.lit(pair_weight) * ratio).otherwise(p)
     sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(p)).alias("more_base"), F.sum(F.col("times") * F.log10(mixed)).alias("more"))
-    out = scanned.drop("keys", "ratios", "times").join(sums, "row", "left")
+        F.sum(F.when(F.col("open") & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(F.col("open"), F.col("times") * F.log10(p)).otherwise(0.0)).alias("more_base"),
+        F.sum(F.col("times") * F.log10(mixed)).alias("more"))
+    out = scanned.drop(*parts).join(sums, "row", "left")
     zero = F.lit(0.0)
     return out.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens",

@@ -280,6 +280,35 @@ def test_lm_base(docs, rows, words):
         assert r.score <= 0
 
 
+@pytest.mark.parametrize("held, words", [(lm.HELD, lm.WORDS), (lm.HELD, 20), (1 << 10, lm.WORDS), (1 << 10, 20)])
+def test_lm_score_has_all_pairs(docs, rows, held, words):
+    import xxhash
+
+    tokens = {i: lm.tokens(t) for i, t, *_ in rows}
+    single, pairs = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            single.update(w)
+            pairs.update(zip(w, w[1:]))
+    n, v = sum(single.values()), len(single)
+    model, rare, few = lm.fit(docs, held=held, words=words)
+    assert (model.floor_ > 1) == (held < n)
+
+    def hashed(w):
+        return np.array([xxhash.xxh64_intdigest(w)], np.uint64)
+
+    def p(w, before):
+        own = (single[w] + 1) / (n + v + 1)
+        if before is None or not single[before]:
+            return own
+        c = model.pair_counts(lm.pair_keys(hashed(before), hashed(w)))[0] or pairs[before, w]
+        return 0.6 * own + 0.4 * min(1, c / single[before])
+
+    for r in lm.score(docs, model, rare, few).collect():
+        w = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(x, b)) for x, b in zip(w, [None, *w])))
+
+
 def test_lm_filter_holds_levels(spark):
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2 ** 63, 3000, dtype=np.uint64))
