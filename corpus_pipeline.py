@@ -28,9 +28,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay unless they share 0.8 or more of their five-word shingles with one that stays, as far as fingerprints find it."""
+    """Of documents linked by fingerprints of three-word shingles within three bits the smallest id stays, as the operator's query groups them."""
     ship(spark)
-    return simhash.keep_unlike(docs)
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
