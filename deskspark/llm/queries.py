@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.llm import ann, bpe, exact_dedup, langid, line_dedup, lm, mixing, simhash, suffix_dedup, url_filter
+from deskspark.llm import (
+    ann, bpe, collocations, exact_dedup, html_extract, langid, line_dedup, lm, mixing, simhash, suffix_dedup, url_filter,
+    whitening,
+)
 from deskspark.llm.common import table
 from deskspark.session import ship
 
@@ -146,3 +149,53 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.fit(url_filter.labelled_urls(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES, model).drop("url")
+
+
+@register("op11_collocations", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (
+  SELECT lang, unnest(ws) AS w1, unnest(ws[2:] || [NULL]) AS w2, unnest(ws[3:] || [NULL, NULL]) AS w3,
+    unnest(ws[4:] || [NULL, NULL, NULL]) AS w4 FROM w WHERE len(ws) > 0),
+g AS MATERIALIZED (
+  SELECT lang, 1 AS k, w1 AS ph, count(*) AS f FROM i WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM i WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM i WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM i WHERE w4 IS NOT NULL GROUP BY ALL
+    HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM i WHERE w1 IS NOT NULL GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(ph, ' ') AS ws FROM g WHERE k > 1),
+x AS MATERIALIZED (
+  SELECT lang, ph, k, f, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (
+  SELECT x.lang, x.ph, x.f AS a, x.j, l.f AS l, r.f AS r, (2000000::HUGEINT * x.f) // (l.f + r.f) AS score
+  FROM x JOIN g AS l ON l.lang = x.lang AND l.ph = x.head JOIN g AS r ON r.lang = x.lang AND r.ph = x.tail),
+b AS (SELECT lang, ph, a, min({'score': score, 'j': j, 'l': l, 'r': r}) AS cut FROM s GROUP BY lang, ph, a),
+o AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS ph, max(f) AS longest
+  FROM (SELECT *, unnest([1, 2, 1, 2, 3]) AS i, unnest([2, 2, 3, 3, 2]) AS m FROM c)
+  WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+q AS (
+  SELECT b.lang, b.ph AS phrase, b.a, cut.l AS l, cut.r AS r, cut.score::BIGINT AS score
+  FROM b LEFT JOIN o ON b.lang = o.lang AND b.ph = o.ph WHERE o.longest IS NULL OR 100 * o.longest < 80 * b.a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM q)
+SELECT t.lang, t.rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE t.rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+@register("op12_html_extract")
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.learn(html_extract.labelled_pages())
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, model).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # beyond a long: null
