@@ -194,7 +194,7 @@ class Groups:
             if len(self.hot_pairs):
                 more &= np.isin(key, self.hot_pairs)
                 key = np.where(more, _mixed(key, codes[2]), key)
-        return self.of_cell[(key.view(np.uint64) & np.uint64(CELLS - 1)).astype(np.int64)]
+        return self.of_cell[(key.view(np.uint64) & np.uint64(len(self.of_cell) - 1)).astype(np.int64)]
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,8 +231,8 @@ def partition_prefixes(prefixes: DataFrame, words: int) -> Groups:
     return Groups(cells, budget, np.array([r.c1 for r in hot], np.int64), np.array([r.key for r in pairs], np.int64))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The codes of many rows in a line, a zero after each and three more at the end."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """The codes of many rows, about `most`, in a line: a zero after each and three more at the end."""
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -242,7 +242,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for i in range(batch.num_rows):
             held += [flat[ends[i]:ends[i + 1]], np.zeros(1, np.int64)]
             size += ends[i + 1] - ends[i] + 1
-            if size >= CHUNK:
+            if size >= most:
                 yield np.concatenate([*held, np.zeros(MOST - 1, np.int64)])
                 held, size = [], 0
     if held:
@@ -262,10 +262,10 @@ def suffixes(coded: DataFrame, groups: Groups, depth: int, pairs: np.ndarray | N
 
     With `pairs`, the bit table of pairs, suffixes of three words or more whose pairs are all in it.
     """
-    names = [f"c{i + 1}" for i in range(depth)]
+    names, chunk = [f"c{i + 1}" for i in range(depth)], CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for line in _chunks(batches):
+        for line in _chunks(batches, chunk):
             both = (line[:-1] != 0) & (line[1:] != 0)
             if pairs is not None:
                 both[both] = _hits(pairs, _slot(line[:-1][both], line[1:][both]))

@@ -12,7 +12,7 @@ from a seed, with meaningless words, some without any telling name. LABELLED pag
 2**WIDTH numbers whatever the input, and go to the workers with the function.
 
 Pages are parsed by Python's own HTML tokenizer in the tasks, a few megabytes of source at a time. Unclosed and stray tags are
-accepted: a block start closes an open paragraph, items and cells close their like, an end tag without its start is ignored. Character
+accepted: a block start closes an open paragraph, items and cells close their like, an end tag without its start closes nothing. Character
 references are decoded, white space in a block becomes one space, blocks are joined by a line feed in page order. Scripts, styles, embedded
 objects, form controls, the head and comments have no text at all. Text is only ever left out by label; nothing is cut.
 
@@ -147,6 +147,8 @@ class Page(HTMLParser):
         at = self._above((tag,), None if tag in INLINE else frozenset())
         if at is not None:
             self._close_to(at)
+        elif tag not in INLINE:
+            self._end_run()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
