@@ -66,10 +66,3 @@ def tf_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     """Saturated, length-normalised term frequency."""
     norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * dl / avgdl)
     return tf * (R.BM25_K1 + 1) / (tf + norm)
-
-
-def append_documents(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, KeywordIndex]:
-    """Stored plus new chunks and their refreshed index; known ids are not added again."""
-    fresh = new.join(stored.select("doc_id"), "doc_id", "left_anti")
-    both = stored.unionByName(fresh.select(*stored.columns))
-    return both, build_keyword_index(both)

@@ -1,39 +1,38 @@
-"""Top-k scoring of queries against items without building query-item pairs.
+"""Keyword search of many passing queries against a document set that a task can hold.
 
-The smaller side, when it is within a checked size, is sent to every task as one compact block; the
-other side streams past it and each task keeps only its k best per query, so at most k rows per
-query and task are shuffled. When neither side is small both are cut into blocks of bounded size
-and every block meets every block in a cell of its own; again only k rows per query leave a cell.
+The documents, when they are within a checked size, are sent to every task as one compact block, and each query is finished where
+it is read: nothing is shuffled. A larger set is searched through a stored index (operators/postings.py).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from deskspark import rules as R
+from deskspark.functions import text as X
+from deskspark.operators import postings
 
-MAX_SMALL_ROWS = 50_000
-MAX_SMALL_BYTES = 64 << 20
+MAX_HELD_ROWS = 50_000
+MAX_HELD_BYTES = 64 << 20
 MAX_CELLS = 250_000
-BLOCK_ROWS = 2_000
 DIGITS = 9
 
-# block scorer: made from the held side, maps a batch of the passing side to a score matrix with one
-# row per held row and one column per batch row; NaN marks a pair that is no candidate
+# block scorer: made from the held documents, maps a batch of queries to a score matrix with one row per document
+# and one column per query; NaN marks a pair that is no candidate
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
 
-def _fits(df: DataFrame, weight: Column) -> bool:
-    n, size = df.agg(F.count("*"), F.sum(weight)).first()
-    return n <= MAX_SMALL_ROWS and (size or 0) <= MAX_SMALL_BYTES
+def _fits(docs: DataFrame) -> bool:
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return n <= MAX_HELD_ROWS and (size or 0) <= MAX_HELD_BYTES
 
 
 def _best(scores: np.ndarray, ids: list, k: int) -> list[tuple[float, object]]:
@@ -53,41 +52,20 @@ def _rows(found: dict) -> pd.DataFrame:
     return pd.DataFrame(flat, columns=["query_id", "doc_id", "score", "rank"])
 
 
-def _slices(batch: pd.DataFrame, held: int) -> Iterator[pd.DataFrame]:
-    """Parts of a batch whose score matrix stays within MAX_CELLS."""
-    rows = max(1, MAX_CELLS // max(held, 1))
+def _slices(batch: pd.DataFrame, held: int, cells: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose score matrix stays within a number of cells."""
+    rows = max(1, cells // max(held, 1))
     for start in range(0, len(batch), rows):
         yield batch.iloc[start:start + rows]
 
 
-def _pass_items(held_ids: list, score: Scorer, k: int):
-    """Queries held, items passing: running k best per query, given out once per task.
-
-    Items with the same id count once.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list] = [[] for _ in held_ids]
-        bar = np.full(len(held_ids), -np.inf)
-        for batch in batches:
-            for part in _slices(batch, len(held_ids)):
-                part = part.drop_duplicates("doc_id")
-                ids, matrix = part["doc_id"].tolist(), score(part)
-                top = np.fmax.reduce(matrix, axis=1, initial=-np.inf)
-                for row in np.flatnonzero((top > -np.inf) & (np.round(top, DIGITS) >= bar)):
-                    merged = {(s, d) for s, d in best[row] + _best(matrix[row], ids, k)}
-                    best[row] = sorted(merged, key=lambda p: (-p[0], p[1]))[:k]
-                    if len(best[row]) == k:
-                        bar[row] = best[row][-1][0]
-        yield _rows(dict(zip(held_ids, best)))
-
-    return run
-
-
 def _pass_queries(held_ids: list, score: Scorer, k: int):
-    """Items held, queries passing: every query row is finished on the spot."""
+    """Documents held, queries passing: every query row is finished on the spot."""
+    cells = MAX_CELLS
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _slices(batch, len(held_ids)):
+            for part in _slices(batch, len(held_ids), cells):
                 matrix = score(part)
                 yield _rows({
                     q: _best(matrix[:, col], held_ids, k) for col, q in enumerate(part["query_id"])
@@ -96,93 +74,6 @@ def _pass_queries(held_ids: list, score: Scorer, k: int):
     return run
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """Best k of the best k of every task."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _out_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("doc_id", items.schema["doc_id"].dataType),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rank", T.IntegerType()),
-    ])
-
-
-def _grid(queries: DataFrame, items: DataFrame, make: Callable[[pd.DataFrame], Scorer], k: int) -> DataFrame:
-    """Both sides large: block against block, cells spread over the cluster."""
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // BLOCK_ROWS))
-
-    nq, ni = blocks(queries), blocks(items)
-
-    def dealt(df: DataFrame, key: str, mine: str, n_mine: int, other: str, n_other: int) -> DataFrame:
-        number = F.pmod(F.xxhash64(key), F.lit(n_mine)).cast("int")
-        return df.withColumn(mine, number).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    # both sides may come from one table; names of its own keep their columns apart in the cogroup
-    mine = items.select([F.col(c).alias(f"item_{c}") for c in items.columns])
-    left = dealt(queries, "query_id", "qb", nq, "ib", ni).groupBy("qb", "ib")
-    right = dealt(mine, "item_doc_id", "ib", ni, "qb", nq).groupBy("qb", "ib")
-
-    def cell(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or ds.empty:
-            return _rows({})
-        ds = ds.rename(columns=lambda c: c.removeprefix("item_")).drop_duplicates("doc_id")
-        matrix, ids = make(qs)(ds), ds["doc_id"].tolist()
-        return _rows({q: _best(matrix[i], ids, k) for i, q in enumerate(qs["query_id"])})
-
-    return left.cogroup(right).applyInPandas(cell, _out_schema(queries, items))
-
-
-# ---- dense vectors ------------------------------------------------------------------------
-
-def _dense(held: pd.DataFrame) -> Scorer:
-    a = np.array(held["vector"].tolist(), dtype=np.float64).reshape(len(held), -1)
-    a2 = (a * a).sum(axis=1)[:, None]
-
-    def score(batch: pd.DataFrame) -> np.ndarray:
-        b = np.array(batch["vector"].tolist(), dtype=np.float64)
-        d = a2 + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-        return -np.maximum(d, 0.0)
-
-    return score
-
-
-def nearest(queries: DataFrame, items: DataFrame, k: int = 4, small: str = "queries") -> DataFrame:
-    """k nearest items by squared L2 distance: (query_id, doc_id, distance, rank). Exact.
-
-    Inputs are (query_id, vector) and (doc_id, vector); ties go to the lower id. `small` names the
-    side whose size is checked first.
-    """
-    queries, items = queries.select("query_id", "vector"), items.select("doc_id", "vector")
-    weight, schema = F.size("vector") * 8, _out_schema(queries, items)
-    side = _held_side(queries, items, weight, small)
-    if side == "queries":
-        held = queries.toPandas()
-        found = items.mapInPandas(_pass_items(held["query_id"].tolist(), _dense(held), k), schema)
-    elif side == "items":
-        held = items.toPandas()
-        found = queries.mapInPandas(_pass_queries(held["doc_id"].tolist(), _dense(held), k), schema)
-    else:
-        found = _grid(queries, items, _dense, k)
-    if side != "items":
-        found = _ranked(found, k)
-    return found.select("query_id", "doc_id", F.abs("score").alias("distance"), "rank")
-
-
-def _held_side(queries: DataFrame, items: DataFrame, weight: Column, small: str) -> str | None:
-    """The side that may be sent to every task, None when both exceed the bound."""
-    sides = {"queries": queries, "items": items}
-    order = [small, *(s for s in sides if s != small)]
-    return next((s for s in order if _fits(sides[s], weight)), None)
-
-
-# ---- sparse keyword vectors ---------------------------------------------------------------
-
 class TermBlock:
     """Held side as a sparse term x row table; scores a batch of passing rows at once."""
 
@@ -216,75 +107,34 @@ class TermBlock:
         return np.where(out > 0, out, np.nan)
 
 
-def _doc_weights(text: str, avgdl: float, wanted) -> dict[str, float]:
-    tokens = text.split()
-    norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * len(tokens) / avgdl)
-    counts = Counter(t for t in tokens if t in wanted)
+def _doc_weights(words: list[str], avgdl: float, wanted) -> dict[str, float]:
+    norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * len(words) / avgdl)
+    counts = Counter(t for t in words if t in wanted)
     return {t: c * (R.BM25_K1 + 1) / (c + norm) for t, c in counts.items()}
 
 
-def _query_weights(text: str, idf: dict[str, float]) -> dict[str, float]:
-    return {t: c * idf[t] for t, c in Counter(text.split()).items() if t in idf}
-
-
-def keyword_top(queries: DataFrame, docs: DataFrame, terms: DataFrame, corpus: DataFrame, k: int,
-                small: str = "queries", distinct: bool = False) -> DataFrame:
-    """k best documents by BM25: (query_id, doc_id, score, rank); only positive scores.
+def keyword_top(queries: DataFrame, docs: DataFrame, terms: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """k best documents by BM25: (query_id, doc_id, score, rank); only positive scores, ties to the lower id.
 
     Inputs are (query_id, text), (doc_id, text) and the term and corpus tables of the index the
-    scores refer to, which may cover more documents than `docs`. With `distinct`, rows of the same
-    doc_id (a content key, say) are one candidate.
+    scores refer to, which may cover more documents than `docs`.
     """
-    def lowered(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.lower("text").alias("text"))
-
-    def idf_of(held: DataFrame) -> dict[str, float]:
-        mine = held.select(F.explode(F.split("text", r"(?U)\s+")).alias("term")).distinct()
-        return {r["term"]: r["idf"] for r in terms.join(mine, "term", "left_semi").select("term", "idf").collect()}
-
-    queries, docs = lowered(queries, "query_id"), lowered(docs, "doc_id")
-    schema, weight = _out_schema(queries, docs), F.length("text")
+    if not _fits(docs):
+        index = postings.create(docs.select("doc_id", "text"))
+        return postings.search(queries, replace(index, terms=terms, corpus=corpus), k)
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", docs.schema["doc_id"].dataType),
+        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
+    ])
+    words = F.coalesce(X.words(F.col("text")), F.array().cast("array<string>")).alias("words")
+    held = docs.select("doc_id", words).toPandas().drop_duplicates("doc_id")
+    mine = docs.select(F.explode(words).alias("term")).distinct()
+    idf = {r["term"]: r["idf"] for r in terms.join(mine, "term", "left_semi").select("term", "idf").collect()}
     avgdl = corpus.first()["avgdl"]
-    side = _held_side(queries, docs, weight, small)
-    if side == "queries":
-        held, idf = queries.toPandas(), idf_of(queries)
-        block = TermBlock([_query_weights(t, idf) for t in held["text"]])
-
-        def score_docs(batch: pd.DataFrame) -> np.ndarray:
-            return block.scores([_doc_weights(t, avgdl, block.terms) for t in batch["text"]])
-
-        found = docs.mapInPandas(_pass_items(held["query_id"].tolist(), score_docs, k), schema)
-    elif side == "items":
-        held, idf = docs.toPandas().drop_duplicates("doc_id"), idf_of(docs)
-        block = TermBlock([
-            {t: w * idf[t] for t, w in _doc_weights(text, avgdl, idf).items()} for text in held["text"]
-        ])
-
-        def score_queries(batch: pd.DataFrame) -> np.ndarray:
-            return block.scores([Counter(t.split()) for t in batch["text"]])
+    block = TermBlock([{t: w * idf[t] for t, w in _doc_weights(row, avgdl, idf).items()} for row in held["words"]])
 
-        # each query met every document in one place, so its ranks are final: nothing to shuffle
-        return queries.mapInPandas(_pass_queries(held["doc_id"].tolist(), score_queries, k), schema)
-    else:
-        found = _keyword_grid(queries, docs, terms, avgdl, k)
-    if distinct:
-        found = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return _ranked(found, k)
-
-
-def _keyword_grid(queries: DataFrame, docs: DataFrame, terms: DataFrame, avgdl: float, k: int) -> DataFrame:
-    """Neither side small: query rows carry their own idf values, so cells need nothing else."""
-    words = queries.select("query_id", F.explode(F.split("text", r"(?U)\s+")).alias("term"))
-    counted = words.groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    weighted = counted.join(terms.select("term", "idf"), "term").groupBy("query_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", F.col("n") * F.col("idf")))).alias("weights"))
-
-    def make(held: pd.DataFrame) -> Scorer:
-        block = TermBlock([dict(w) for w in held["weights"]])
-
-        def score(batch: pd.DataFrame) -> np.ndarray:
-            return block.scores([_doc_weights(t, avgdl, block.terms) for t in batch["text"]])
-
-        return score
+    def score(batch: pd.DataFrame) -> np.ndarray:
+        return block.scores([Counter(row) for row in batch["words"]])
 
-    return _grid(weighted, docs, make, k)
+    # each query met every document in one place, so its ranks are final: nothing to shuffle
+    return queries.select("query_id", words).mapInPandas(_pass_queries(held["doc_id"].tolist(), score, k), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,30 +11,30 @@ from pyspark.sql import Window as W
 
 from deskspark import rules as R
 from deskspark.functions import text as X
-from deskspark.operators.index import KeywordIndex, tf_weight
-from deskspark.operators.ranking import DIGITS, keyword_top, nearest
+from deskspark.operators import postings as P
+from deskspark.operators import vectors as V
 from deskspark.session import materialise
 from deskspark.settings import DEFAULTS, Settings
 
 
-def pair_keyword_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame, index: KeywordIndex) -> DataFrame:
-    """BM25 of given (query_id, doc_id) pairs; 0 when they share no term.
+DIGITS = 9
 
-    Only texts of the named pairs are tokenised; a repeated query term counts repeatedly.
-    """
-    q = queries.select("query_id", F.explode(X.words(F.col("text"))).alias("term"))
-    q = q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    q = q.join(index.terms.select("term", "idf"), "term")
-    named = pairs.select("query_id", "doc_id").distinct()
-    d = docs.select("doc_id", X.words(F.col("text")).alias("words")).join(
-        named.select("doc_id").distinct(), "doc_id", "left_semi")
-    d = d.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    d = d.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weight = tf_weight(F.col("tf"), F.col("dl"), index.corpus.select("avgdl").scalar())
-    hits = named.join(q, "query_id").join(d.withColumn("w", weight), ["doc_id", "term"])
-    sums = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("w")).alias("score"))
-    return named.join(sums, ["query_id", "doc_id"], "left").select(
-        "query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A document set for keyword and hybrid search, equal texts as one: `members` (doc_id, content_key) and the
+    postings of the distinct texts by content_key, counted as often as they occur."""
+
+    members: DataFrame
+    postings: P.PostingIndex
+
+
+def text_index(docs: DataFrame, path: str | None = None) -> TextIndex:
+    """Index of (doc_id, text). Of equal texts one is tokenised, found by ids and keys alone."""
+    members = materialise(docs.select("doc_id", F.md5("text").alias("content_key")), "members")
+    one = members.groupBy("content_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("content_key")).join(one, ["doc_id", "content_key"])
+    return TextIndex(members, P.create(keyed.select(F.col("content_key").alias("doc_id"), "text", "copies"), path))
 
 
 def similarity(distance: Column) -> Column:
@@ -55,34 +56,34 @@ def fuse(semantic: DataFrame, keyword: DataFrame, alpha: float) -> DataFrame:
 
 
 def hybrid_search(
-    queries: DataFrame, docs: DataFrame, vectors: DataFrame, index: KeywordIndex, k: int = 4,
-    alpha: float = 0.5, small: str = "queries",
+    queries: DataFrame, vectors: V.VectorIndex, index: TextIndex | None, k: int = 4, alpha: float = 0.5,
 ) -> DataFrame:
     """Vector and keyword search fused per query: (query_id, doc_id, score, rank).
 
-    queries (query_id, text, vector), docs (doc_id, text), vectors (doc_id, vector). Texts are
-    what is ranked: equal texts are one candidate, with the largest distance among its vector
+    queries (query_id, text, vector), from stored vectors and a stored text index; no text of a document is read. Texts
+    are what is ranked: equal texts are one candidate, with the largest distance among its vector
     hits and the nearest of them as its document. After the cut to k only candidates with a
     vector hit stay, so fewer than k rows may come back. `score` is 1 - fused.
 
+    Without an index it is the vector search alone, and `score` the distance.
+
     Every text has a keyword score, but only the 3k best can take one of the k places from the 2k
-    vector hits, so nothing else leaves the scan. Both hit lists are small tables; written out,
-    their true size lets Spark choose how to join them to the documents.
+    vector hits, so nothing else is scored. Both hit lists are small tables; written out,
+    their true size lets Spark choose how to join them.
     """
-    near = materialise(nearest(queries, vectors, 2 * k, small), "near")
-    hits = near.join(docs.select("doc_id", "text"), "doc_id").withColumn("content_key", F.md5("text"))
+    if index is None:
+        return V.search(queries, vectors, k).withColumnRenamed("distance", "score")
+    near = materialise(V.search(queries, vectors, 2 * k), "near")
+    hits = near.join(index.members, "doc_id")
     semantic = hits.groupBy("query_id", "content_key").agg(
         F.max("distance").alias("distance"),
         F.min(F.struct("distance", "doc_id"))["doc_id"].alias("hit_id"),
     )
     semantic = materialise(semantic, "semantic")
-    keyed = docs.select(F.md5("text").alias("doc_id"), "text")
-    best = keyword_top(queries, keyed, index.terms, index.corpus, 3 * k, small, distinct=True)
-    top = best.select("query_id", F.col("doc_id").alias("content_key"), "score")
-    pairs = semantic.select("query_id", F.col("hit_id").alias("doc_id"), "content_key")
-    named = pair_keyword_scores(pairs, queries, docs, index).join(pairs, ["query_id", "doc_id"])
-    named = named.select("query_id", "content_key", F.round("score", DIGITS).alias("score"))
-    keyword = top.unionByName(named).groupBy("query_id", "content_key").agg(F.max("score").alias("score"))
+    best = P.search(queries, index.postings, 3 * k)
+    named = P.pair_scores(semantic.select("query_id", F.col("content_key").alias("doc_id")), queries, index.postings)
+    keyword = best.select("query_id", "doc_id", "score").unionByName(named) \
+        .groupBy("query_id", F.col("doc_id").alias("content_key")).agg(F.max("score").alias("score"))
     both = semantic.join(max_normalised(keyword), ["query_id", "content_key"], "full")
     sem = F.coalesce(similarity(F.col("distance")), F.lit(0.0))
     kw = F.coalesce("score", F.lit(0.0))
@@ -225,7 +226,7 @@ def retrieval_summary(docs: DataFrame, key: str = "id") -> DataFrame:
 
 
 def standard_retrieval(
-    queries: DataFrame, docs: DataFrame, vectors: DataFrame, index: KeywordIndex, k: int,
+    queries: DataFrame, docs: DataFrame, vectors: V.VectorIndex, index: TextIndex | None, k: int,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Rewrite, hybrid search with over-fetch, re-rank, cut, compress.
@@ -240,9 +241,9 @@ def standard_retrieval(
     search = asked.select("query_id", F.col("search").alias("text"), "vector")
     fetch = 3 * k if settings.use_rerank else k
     if settings.use_hybrid:
-        found = hybrid_search(search, docs, vectors, index, fetch, settings.alpha)
+        found = hybrid_search(search, vectors, index, fetch, settings.alpha)
     else:
-        found = nearest(search, vectors, fetch).withColumnRenamed("distance", "score")
+        found = hybrid_search(search, vectors, None, fetch)
     rows = found.join(docs.select("doc_id", "text"), "doc_id").join(
         asked.select("query_id", F.col("text").alias("asked"), F.col("search").alias("query")), "query_id")
     if settings.use_rerank:
@@ -260,7 +261,7 @@ def _compressed(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def advanced_retrieval(
-    queries: DataFrame, docs: DataFrame, vectors: DataFrame, index: KeywordIndex, k: int,
+    queries: DataFrame, docs: DataFrame, vectors: V.VectorIndex, index: TextIndex | None, k: int,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Decompose, vary, search each variant, fuse by rank, re-rank, compress, cut.
@@ -275,7 +276,7 @@ def advanced_retrieval(
     list_id = F.col("sub_no") * 10 + F.col("var_no")
     keyed = varied.select(F.struct("query_id", list_id.alias("list_id")).alias("q"), "text", "vector")
     search = keyed.select(F.to_json("q").alias("query_id"), "text", "vector")
-    found = hybrid_search(search, docs, vectors, index, 2 * k, settings.alpha)
+    found = hybrid_search(search, vectors, index, 2 * k, settings.alpha)
     q = F.from_json("query_id", keyed.schema["q"].dataType)
     lists = found.withColumn("q", q).select("q.*", "doc_id", "rank").join(
         docs.select("doc_id", "text", F.md5("text").alias("content_key")), "doc_id")

@@ -43,7 +43,7 @@ def dual_documents(mails: DataFrame, kb: Knowledge) -> DataFrame:
     """Top documents for subject and body of each mail: (id, docs), at most two in order."""
     parts = mails.select("id", F.posexplode(F.array("subject", "body")).alias("part", "text"))
     asked = parts.select(F.to_json(F.struct("id", "part")).alias("query_id"), "text")
-    found = keyword_top(asked, kb.docs, kb.index.terms, kb.index.corpus, 1, small="items")
+    found = keyword_top(asked, kb.docs, kb.index.terms, kb.index.corpus, 1)
     hits = found.join(kb.docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     key = F.from_json("query_id", "id string, part int")
     return RT.subject_and_body_hits(hits.withColumn("q", key).select(

@@ -200,7 +200,7 @@ def account_context(spark, sf_dir):
 @register("context_source", TYPED_SQL + f"""
 , m AS (SELECT CAST(event_id AS VARCHAR) AS id, 'user' || user_id || '@example.com' AS email, event_id FROM events),
 a AS (SELECT email, {SUMMARY_SQL} AS account_context FROM typed)
-SELECT m.id, coalesce(account_context, left(d.text, 80), '') AS context,
+SELECT m.id, coalesce(account_context, d.text, '') AS context,
   CASE WHEN account_context IS NOT NULL THEN 'database' WHEN d.text IS NOT NULL THEN 'documents' ELSE 'none' END AS context_from
 FROM m LEFT JOIN a USING (email) LEFT JOIN documents d ON d.doc_id = m.event_id""")
 def context_source(spark, sf_dir):
@@ -212,7 +212,7 @@ def context_source(spark, sf_dir):
     texts = typed(spark, sf_dir).withColumn("account_context", A.account_summary(as_of))
     hits = A.account_360(m, texts).select("id", "account_context")
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 80).alias("document_context")
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document_context")
     )
     return A.context_source(m, hits, docs).select("id", "context", "context_from")
 

@@ -8,6 +8,7 @@ from deskspark import rules as R
 from deskspark.functions import text as X
 from deskspark.operators import chunking as E
 from deskspark.operators import index as IX
+from deskspark.operators import postings as P
 from deskspark.registry import register
 from deskspark.registry.views import any_contains, sql_strip, table
 
@@ -136,29 +137,29 @@ def tokenize(spark, sf_dir):
 
 def stats_ctes(docs: str = "SELECT doc_id, text FROM documents") -> str:
     """CTEs d_len, post, term_stats, corpus over (doc_id, text) rows."""
-    return f"""d_words AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM ({docs})),
+    return f"""d_words AS MATERIALIZED (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM ({docs})),
 d_len AS (SELECT doc_id, len(w) AS dl FROM d_words),
-post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d_words) GROUP BY ALL),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d_words) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d_len),
-raw_idf AS (SELECT term, count(*) AS df, ln((SELECT n FROM corpus) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
+raw_idf AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM corpus) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
 term_stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf)
 """
 
 
-@register("bm25_stats", "WITH " + stats_ctes() + "SELECT term, df, round(idf, 9) AS idf FROM term_stats")
+@register("bm25_stats", "WITH " + stats_ctes() + "SELECT term, df, round(idf, 6) AS idf FROM term_stats")
 def bm25_stats(spark, sf_dir):
     ix = IX.build_keyword_index(table(spark, sf_dir, "documents"))
-    return ix.terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return ix.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @register("index_append", "WITH " + stats_ctes(
     "SELECT doc_id, text FROM documents UNION ALL SELECT page_id + 1000000, html FROM pages"
 ) + "SELECT CASE WHEN df = 1 THEN 'single' ELSE 'shared' END AS kind, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, round(avg(idf), 6) AS avg_idf FROM term_stats GROUP BY 1")
 def index_append(spark, sf_dir):
-    """Pages added to the document index; statistics are refreshed, known ids skipped."""
+    """Pages added to the stored document index as a segment of their own; statistics are merged, known ids skipped."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     p = table(spark, sf_dir, "pages").select((F.col("page_id") + 1000000).alias("doc_id"), F.col("html").alias("text"))
-    _, ix = IX.append_documents(d, p.unionByName(d))
+    ix = P.append(P.create(d), p.unionByName(d))
     kind = F.when(F.col("df") == 1, F.lit("single")).otherwise(F.lit("shared"))
     return ix.terms.groupBy(kind.alias("kind")).agg(
         F.count("*").alias("terms"), F.sum("df").alias("postings"), F.round(F.avg("idf"), 6).alias("avg_idf"))

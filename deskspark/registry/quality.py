@@ -131,13 +131,13 @@ def toxic_verdict(spark, sf_dir):
 
 
 @register("topic_verdict", with_ctes("mails") + """
-SELECT m.id, CASE WHEN l.quality = 0 AND len(m.subject) > 20
+SELECT m.id, CASE WHEN l.quality = 0 AND len(m.body) > 20
   THEN 'Response appears off-topic for category: ' || lang END AS message
 FROM mails m JOIN labels l USING (doc_id)""")
 def topic_verdict(spark, sf_dir):
     m = mails(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     verdict = F.when(F.col("quality") == 0, F.lit("off_topic")).otherwise(F.lit("RELEVANT"))
-    v = Q.topic_violations(verdict, F.col("subject"), F.col("lang"))
+    v = Q.topic_violations(verdict, F.col("body"), F.col("lang"))
     return m.select("id", F.get(v, F.lit(0))["message"].alias("message"))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from deskspark import rules as R
 from deskspark.operators import index as IX
+from deskspark.operators import postings as P
 from deskspark.operators import retrieval as F_
-from deskspark.operators.ranking import keyword_top, nearest
+from deskspark.operators import vectors as V
+from deskspark.operators.ranking import keyword_top
 from deskspark.registry import register
 from deskspark.registry.corpus import WORDS_SQL, stats_ctes
 from deskspark.registry.views import any_contains, mails, sql_strip, table, with_ctes
@@ -27,11 +29,19 @@ def vectors(spark, sf_dir):
 def asking(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return b.join(e, "query_id")
+    return b.join(e, "query_id", "left")
+
+
+def stored_vectors(spark, sf_dir):
+    return V.build(vectors(spark, sf_dir))
 
 
 def document_index(spark, sf_dir):
-    return IX.stored_index(documents(spark, sf_dir))
+    return P.create(documents(spark, sf_dir))
+
+
+def content_index(spark, sf_dir):
+    return F_.text_index(documents(spark, sf_dir))
 
 
 def rounded(df, column="score"):
@@ -40,13 +50,13 @@ def rounded(df, column="score"):
 
 
 QUERIES_SQL = """queries AS (SELECT item_id AS qid, b.text, e.embedding AS vector
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 
 def near_cte(k: int, source: str = "queries") -> str:
     return f"""near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, doc_id) AS INTEGER) AS rank FROM (
   SELECT q.qid, e.vec_id AS doc_id, round(pow(array_distance(q.vector::DOUBLE[64], e.embedding::DOUBLE[64]), 2), 9) AS d
-  FROM {source} q CROSS JOIN embeddings e)) WHERE rank <= {k})"""
+  FROM {source} q CROSS JOIN embeddings e WHERE q.vector IS NOT NULL)) WHERE rank <= {k})"""
 
 
 def kw_cte(source: str = "queries") -> str:
@@ -78,7 +88,7 @@ hybrid AS (SELECT qid, hit_id AS doc_id, round(1 - fused, 9) AS score, CAST(row_
 SELECT qid AS query_id, doc_id, d AS distance, rank FROM near""")
 def knn(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return nearest(v.withColumnRenamed("doc_id", "query_id"), v, 4)
+    return V.search(v.withColumnRenamed("doc_id", "query_id"), V.build(v), 4)
 
 
 @register("knn_filtered", """WITH near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, doc_id) AS INTEGER) AS rank FROM (
@@ -90,14 +100,12 @@ def knn_filtered(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     items = e.filter(F.col("label").isin(3, 7)).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return nearest(q, items, 4)
+    return V.search(q, V.build(items), 4)
 
 
 @register("bm25", f"WITH {QUERIES_SQL}, {stats_ctes()}, {kw_cte()}, {kw_top_cte(10)} SELECT qid AS query_id, doc_id, round(score, 6) AS score, rank FROM kw_top")
 def bm25(spark, sf_dir):
-    ix = document_index(spark, sf_dir)
-    found = keyword_top(asking(spark, sf_dir), documents(spark, sf_dir), ix.terms, ix.corpus, 10)
-    return rounded(found)
+    return rounded(P.search(asking(spark, sf_dir), document_index(spark, sf_dir), 10))
 
 
 @register("score_fusion", f"""WITH {QUERIES_SQL}, {stats_ctes()}, {near_cte(8)}, {kw_cte()}, {kw_top_cte(10)},
@@ -107,16 +115,15 @@ SELECT coalesce(near.qid, n.qid) AS query_id, coalesce(near.doc_id, n.doc_id) AS
 FROM near FULL JOIN n ON near.qid = n.qid AND near.doc_id = n.doc_id""")
 def score_fusion(spark, sf_dir):
     q, ix = asking(spark, sf_dir), document_index(spark, sf_dir)
-    sem = nearest(q, vectors(spark, sf_dir), 8).select("query_id", "doc_id", F_.similarity(F.col("distance")).alias("semantic"))
-    kw = keyword_top(q, documents(spark, sf_dir), ix.terms, ix.corpus, 10)
+    sem = V.search(q, stored_vectors(spark, sf_dir), 8).select("query_id", "doc_id", F_.similarity(F.col("distance")).alias("semantic"))
+    kw = P.search(q, ix, 10)
     kw = F_.max_normalised(kw).select("query_id", "doc_id", F.col("score").alias("keyword"))
     return rounded(F_.fuse(sem, kw, 0.5), "fused")
 
 
 @register("hybrid_search", f"WITH {QUERIES_SQL}, {stats_ctes()}, {hybrid_cte(4, 0.7)} SELECT qid AS query_id, doc_id, round(score, 6) AS score, rank FROM hybrid")
 def hybrid_search(spark, sf_dir):
-    return rounded(F_.hybrid_search(asking(spark, sf_dir), documents(spark, sf_dir), vectors(spark, sf_dir),
-                                    document_index(spark, sf_dir), 4, 0.7))
+    return rounded(F_.hybrid_search(asking(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 4, 0.7))
 
 
 RRF_CTE = """fused AS (SELECT qid, ck, round(sum(1.0 / (60 + rank)), 9) AS score, min((list_id, rank)) AS seen, arg_min(doc_id, (list_id, rank)) AS doc_id
@@ -130,8 +137,8 @@ lists AS (SELECT qid, 0 AS list_id, doc_id, md5(text) AS ck, rank FROM near JOIN
 SELECT qid AS query_id, doc_id, score, rank FROM rrf""")
 def rrf(spark, sf_dir):
     q, ix, docs = asking(spark, sf_dir), document_index(spark, sf_dir), documents(spark, sf_dir)
-    a = nearest(q, vectors(spark, sf_dir), 8).select("query_id", F.lit(0).alias("list_id"), "doc_id", "rank")
-    b = keyword_top(q, docs, ix.terms, ix.corpus, 8).select("query_id", F.lit(1).alias("list_id"), "doc_id", "rank")
+    a = V.search(q, stored_vectors(spark, sf_dir), 8).select("query_id", F.lit(0).alias("list_id"), "doc_id", "rank")
+    b = P.search(q, ix, 8).select("query_id", F.lit(1).alias("list_id"), "doc_id", "rank")
     keys = docs.select("doc_id", F.md5("text").alias("content_key"))
     return F_.reciprocal_rank_fusion(a.unionByName(b).join(keys, "doc_id"))
 
@@ -148,7 +155,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n > 4 THE
 SELECT qid AS query_id, doc_id, CASE WHEN n > 4 THEN round(1 - s, 9) ELSE score END AS score, CAST(place AS INTEGER) AS rank FROM r WHERE place <= 4""")
 def rerank(spark, sf_dir):
     q, ix, docs = asking(spark, sf_dir), document_index(spark, sf_dir), documents(spark, sf_dir)
-    found = keyword_top(q, docs, ix.terms, ix.corpus, 12)
+    found = P.search(q, ix, 12)
     rows = found.join(docs, "doc_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
     return F_.rerank(rows, 4).select("query_id", "doc_id", "score", "rank")
 
@@ -209,8 +216,8 @@ def compress(spark, sf_dir):
 
 
 @register("retrieve_standard", f"""WITH asked0 AS (SELECT item_id AS qid, b.text AS original, e.embedding AS vector,
-    CASE WHEN item_id % 3 = 0 THEN substr(b.text, 1, 120) WHEN item_id % 3 = 1 THEN 'too short' END AS rewrite
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+    CASE WHEN item_id % 3 = 0 THEN 'please: ' || replace(b.text, ',', '') WHEN item_id % 3 = 1 THEN 'too short' END AS rewrite
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 queries AS (SELECT qid, original, vector, CASE WHEN NOT (len({WORDS_SQL.format('original')}) > 8 AND contains(original, '?'))
     AND len({sql_strip('rewrite')}) > 10 AND len({sql_strip('rewrite')}) < 200 THEN {sql_strip('rewrite')} ELSE original END AS text FROM asked0),
 {stats_ctes()}, {hybrid_cte(6, 0.7)},
@@ -223,13 +230,13 @@ SELECT * REPLACE (round(score, 6) AS score) FROM done""")
 def retrieve_standard(spark, sf_dir):
     q = asking(spark, sf_dir)
     kind = F.col("query_id") % 3
-    q = q.withColumn("rewrite", F.when(kind == 0, F.substring("text", 1, 120)).when(kind == 1, F.lit("too short")))
-    found = F_.standard_retrieval(q, documents(spark, sf_dir), vectors(spark, sf_dir), document_index(spark, sf_dir), 2)
+    q = q.withColumn("rewrite", F.when(kind == 0, F.concat(F.lit("please: "), F.replace(F.col("text"), F.lit(","), F.lit("")))).when(kind == 1, F.lit("too short")))
+    found = F_.standard_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2)
     return rounded(found)
 
 
 @register("retrieve_advanced", f"""WITH base AS (SELECT item_id, b.text, e.embedding AS vector, replace(b.text, '. ', chr(10)) AS lines
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 s0 AS (SELECT *, ({CLEAN_LINES_SQL.format('lines')})[1:3] AS parts, {any_contains('lower(text)', R.COMPLEX_MARKS)} AND len({WORDS_SQL.format('text')}) > 10 AS cx FROM base),
 s1 AS (SELECT *, CASE WHEN cx AND len(parts) > 0 THEN parts ELSE [text] END AS subs FROM s0),
 s2 AS (SELECT item_id, vector, lines, unnest(range(len(subs))) AS sub_no, unnest(subs) AS sub FROM s1),
@@ -250,7 +257,7 @@ def retrieve_advanced(spark, sf_dir):
     lines = F.replace(F.col("text"), F.lit(". "), F.lit("\n"))
     q = q.withColumns({"parts": lines, "variants": lines})
     settings = replace(DEFAULTS, use_variants=True, use_decomposition=True)
-    return F_.advanced_retrieval(q, documents(spark, sf_dir), vectors(spark, sf_dir), document_index(spark, sf_dir), 2, settings)
+    return F_.advanced_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2, settings)
 
 
 # ---- mails against a small knowledge base (the benchmark items) ----------------------------
@@ -275,7 +282,7 @@ def dual_hits(spark, sf_dir):
     ix = IX.stored_index(kb)
     parts = mails(spark, sf_dir).select("id", F.posexplode(F.array("subject", "body")).alias("part", "text"))
     q = parts.select(F.concat_ws("/", "id", F.col("part").cast("string")).alias("query_id"), "text")
-    found = keyword_top(q, kb, ix.terms, ix.corpus, 1, small="items")
+    found = keyword_top(q, kb, ix.terms, ix.corpus, 1)
     split = F.split("query_id", "/")
     hits = found.join(kb.withColumnRenamed("text", "content"), "doc_id").select(
         split[0].alias("id"), split[1].cast("int").alias("part"), F.md5("content").alias("content_key"),

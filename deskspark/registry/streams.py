@@ -22,9 +22,9 @@ def events(spark, sf_dir):
     return stream_parquet(spark, sf_dir, schemas.EVENTS, "events.parquet").withColumn("status", status)
 
 
-@register("stream_drain", f"SELECT event_id, user_id, {STATUS_SQL} AS status, value FROM events WHERE event_type <> 'view'")
+@register("stream_drain", f"SELECT event_id, user_id, {STATUS_SQL} AS status, value FROM events")
 def stream_drain(spark, sf_dir):
-    rows = events(spark, sf_dir).filter("event_type <> 'view'").select("event_id", "user_id", "status", "value")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "status", "value")
     root = shared_dir(spark)
     S.drain(rows, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{root}/out")

@@ -84,7 +84,7 @@ def main(argv):
 
     sf_dir = argv[0]
     wanted = argv[1:]
-    spark = local_session()
+    spark = local_session(os.environ.get("ORACLE_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
