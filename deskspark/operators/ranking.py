@@ -121,7 +121,7 @@ def keyword_top(queries: DataFrame, docs: DataFrame, terms: DataFrame, corpus: D
     """
     if not _fits(docs):
         index = postings.create(docs.select("doc_id", "text"))
-        return postings.search(queries, replace(index, terms=terms, corpus=corpus), k)
+        return postings.search(queries, replace(index, terms=terms, corpus=corpus, avgdl=corpus.first()["avgdl"]), k)
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", docs.schema["doc_id"].dataType),
         T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),

@@ -17,13 +17,14 @@ are keys: rows of a null id are not stored, of rows that share an id each is a c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,7 +43,7 @@ MARGIN = 1e-8
 
 @dataclass(frozen=True)
 class VectorIndex:
-    pivots: DataFrame  # cell, center
+    cells: DataFrame   # cell, center (the pivot), low, high (radii of its rows); CELLS rows at most
     blocks: DataFrame  # block, cell, low, high, n, ids, radii, vectors (all rows of the block in a line)
 
 
@@ -92,8 +93,6 @@ def build(items: DataFrame, doc_id: str = "doc_id", vector: str = "vector") -> V
     sample = np.array([r.vector for r in picked if len(r.vector) == width]).reshape(-1, max(width, 1))
     cells = int(min(CELLS, max(1, round(n ** 0.5 / 2))))
     centers = fit_pivots(sample, cells) if len(sample) else np.zeros((0, 1))
-    pivots = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>")
-
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -140,20 +139,45 @@ def build(items: DataFrame, doc_id: str = "doc_id", vector: str = "vector") -> V
         yield from cut(True)
 
     if not len(centers):
-        blocks = spark.createDataFrame([], f"block long, cell int, low double, high double, n int, ids array<{kind}>, "
-                                           "radii array<double>, vectors array<double>")
-        return VectorIndex(pivots, blocks)
+        return VectorIndex(spark.createDataFrame([], CELL), spark.createDataFrame([], _ring(kind)))
     placed = items.where(F.size("vector") == width).mapInArrow(assign, f"doc_id {kind}, vector array<double>, cell int, radius double")
     # a cell of many equal rows is cut by the hash of the id
     dealt = placed.repartitionByRange("cell", "radius", F.xxhash64("doc_id")).sortWithinPartitions("cell", "radius", "doc_id")
     packed = dealt.mapInArrow(pack, f"cell int, low double, high double, n int, ids array<{kind}>, radii array<double>, vectors array<double>")
-    return VectorIndex(pivots, materialise(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "vector_blocks"))
+    blocks = materialise(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "vector_blocks")
+    extent = blocks.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    return VectorIndex(spark.createDataFrame([(r.cell, centers[r.cell].tolist(), r.low, r.high) for r in extent], CELL), blocks)
+
+
+CELL = "cell int, center array<double>, low double, high double"
+
+
+def _ring(kind: str) -> str:
+    return f"block long, cell int, low double, high double, n int, ids array<{kind}>, radii array<double>, vectors array<double>"
+
+
+def store(index: VectorIndex, path: str) -> None:
+    """Write an index below `path`, over what is there."""
+    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
+    index.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def load(spark: SparkSession, path: str) -> VectorIndex:
+    """A stored index; AnalysisException where there is none."""
+    return VectorIndex(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/blocks"))
+
+
+def load_or_build(spark: SparkSession, path: str, read_vectors: Callable[[], DataFrame]) -> VectorIndex:
+    try:
+        return load(spark, path)
+    except AnalysisException:
+        store(build(read_vectors()), path)
+        return load(spark, path)
 
 
 def _cells(index: VectorIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, centres, lowest and highest radius) of the cells that hold rows; CELLS rows at most."""
-    extent = index.blocks.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    rows = index.pivots.join(extent, "cell").orderBy("cell").collect()
+    """(numbers, centres, lowest and highest radius) of the cells."""
+    rows = index.cells.collect()
     centers = np.array([r.center for r in rows]) if rows else np.zeros((0, 1))
     return np.array([r.cell for r in rows], np.int32), centers, np.array([r.low for r in rows]), np.array([r.high for r in rows])
 

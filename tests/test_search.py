@@ -10,6 +10,7 @@ from deskspark.functions import encoders
 from deskspark.operators import index as IX
 from deskspark.operators import ranking
 from deskspark.operators import retrieval as RT
+from deskspark.operators import vectors as V
 
 RND = random.Random(7)
 VOCAB = [f"w{i}" for i in range(40)]
@@ -44,7 +45,7 @@ def frames(spark):
     return docs, queries, IX.stored_index(docs)
 
 
-MODES = {"queries": {}, "items": {}, "grid": {"MAX_SMALL_ROWS": 0, "BLOCK_ROWS": 7}, "slices": {"MAX_CELLS": 20}}
+MODES = {"held": {}, "stored": {"MAX_HELD_ROWS": 0}, "slices": {"MAX_CELLS": 20}}
 
 
 @pytest.mark.parametrize("mode", MODES)
@@ -52,9 +53,8 @@ def test_bm25_every_way(frames, monkeypatch, mode):
     for name, value in MODES[mode].items():
         monkeypatch.setattr(ranking, name, value)
     docs, queries, ix = frames
-    small = "items" if mode == "items" else "queries"
     got = {}
-    for r in ranking.keyword_top(queries, docs, ix.terms, ix.corpus, 5, small).orderBy("query_id", "rank").collect():
+    for r in ranking.keyword_top(queries, docs, ix.terms, ix.corpus, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((round(r.score, 9), r.doc_id))
     for q, text in QUERIES:
         want = top(okapi(DOCS, text), 5)
@@ -62,43 +62,13 @@ def test_bm25_every_way(frames, monkeypatch, mode):
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in want], atol=1e-8)
 
 
-@pytest.mark.parametrize("mode", MODES)
-def test_nearest_every_way(spark, monkeypatch, mode):
-    for name, value in MODES[mode].items():
-        monkeypatch.setattr(ranking, name, value)
-    v = spark.createDataFrame(VECS, "doc_id long, vector array<double>")
-    small = "items" if mode == "items" else "queries"
-    got = {}
-    for r in ranking.nearest(v.withColumnRenamed("doc_id", "query_id"), v, 3, small).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.doc_id)
-    for i, a in VECS:
-        d = sorted((round(sum((x - y) ** 2 for x, y in zip(a, b)), 9), j) for j, b in VECS)
-        assert got[i] == [j for _, j in d[:3]]
-
-
-def test_equal_texts_count_once(frames):
-    docs, queries, ix = frames
-    q = queries.limit(1).select("query_id", F.lit("only here").alias("text"))
-    keyed = docs.select(F.md5("text").alias("doc_id"), "text")
-    assert ranking.keyword_top(q, keyed, ix.terms, ix.corpus, 5, distinct=True).count() == 1
-    assert ranking.keyword_top(q, docs, ix.terms, ix.corpus, 5).count() == 2
-
-
-def test_pair_scores(frames):
-    docs, queries, ix = frames
-    pairs = queries.join(docs.select("doc_id"), F.pmod("query_id", F.lit(5)) == F.pmod("doc_id", F.lit(5))).select("query_id", "doc_id")
-    text = dict(QUERIES)
-    for r in RT.pair_keyword_scores(pairs, queries, docs, ix).collect():
-        assert abs(r.score - okapi(DOCS, text[r.query_id])[r.doc_id]) < 1e-9
-
-
 def test_hybrid_against_brute_force(spark, frames):
-    docs, queries, ix = frames
+    docs, queries, _ = frames
     qv = spark.createDataFrame([(i, VECS[i][1]) for i, _ in QUERIES], "query_id long, vector array<double>")
     v = spark.createDataFrame(VECS, "doc_id long, vector array<double>")
     k, alpha = 4, 0.7
     got = {}
-    for r in RT.hybrid_search(queries.join(qv, "query_id"), docs, v, ix, k, alpha).orderBy("query_id", "rank").collect():
+    for r in RT.hybrid_search(queries.join(qv, "query_id"), V.build(v), RT.text_index(docs), k, alpha).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     texts, vecs = dict(DOCS), dict(VECS)
     for q, text in QUERIES:
