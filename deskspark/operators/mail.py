@@ -155,19 +155,24 @@ def thread_references(messages: DataFrame, own_id: Column) -> DataFrame:
     """References and In-Reply-To of each message from all messages before it in the thread.
 
     The chain holds every earlier id in order, whatever gaps the positions have; messages at the same
-    position are in order of their ids. What is gathered per thread are its ids only, as each chain holds
-    them anyway.
+    position are in order of their ids. A message without a thread is in the thread named by its own id, and
+    one without either stands alone. What is gathered per thread are its ids only, as each chain holds
+    them anyway; a message gets the part before it by thread, position and id, so a long thread is not one task.
     """
-    base = messages.withColumn("message_id", own_id)
-    place = F.struct("position", "message_id")
-    threads = base.groupBy("thread_id").agg(F.array_sort(F.collect_set(place)).alias("__thread"))
-    joined = base.join(threads, "thread_id")
-    own = F.struct("position", "message_id")
-    earlier = F.transform(F.filter("__thread", lambda m: m < own), lambda m: m["message_id"])
-    return joined.withColumn("__earlier", earlier).withColumn("in_reply_to", F.try_element_at("__earlier", F.lit(-1))) \
+    base = messages.withColumn("message_id", own_id).withColumn("__thread", F.coalesce("thread_id", "message_id"))
+    threads = base.where("__thread IS NOT NULL").groupBy("__thread").agg(
+        F.array_sort(F.collect_set(F.struct("position", "message_id"))).alias("__all"))
+    ids = F.transform("__all", lambda m: m["message_id"])
+    places = threads.select(F.col("__thread").alias("__key"), ids.alias("__ids"), F.posexplode("__all").alias("__n", "__at")) \
+        .select("__key", "__at", F.slice("__ids", F.lit(1), F.col("__n")).alias("__part"))
+    at = places["__at"]
+    met = (base["__thread"] == places["__key"]) & base["position"].eqNullSafe(at["position"]) \
+        & base["message_id"].eqNullSafe(at["message_id"])
+    joined = base.join(places, met, "left").withColumn("__earlier", F.coalesce("__part", F.array().cast("array<string>")))
+    return joined.withColumn("in_reply_to", F.try_element_at("__earlier", F.lit(-1))) \
         .withColumn("references", reference_chain(
             F.array_join("__earlier", " "), F.col("in_reply_to"), F.col("message_id"))) \
-        .drop("__thread", "__earlier")
+        .drop("__thread", "__key", "__at", "__part", "__earlier")
 
 
 def normalise_body(body: Column) -> Column:

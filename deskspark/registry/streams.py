@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskspark import schemas
-from deskspark.registry import register
+from deskspark.registry import ORACLES, register
+from deskspark.registry import accounts as _accounts  # noqa: F401  the batch form of the lookup is there
 from deskspark.session import shared_dir
 from deskspark.sources.mail import stream_parquet
+from deskspark.streaming import keyed_state as K
 from deskspark.streaming import mail_stream as S
 
 STATUS_SQL = """CASE event_type WHEN 'purchase' THEN 'completed_approved' WHEN 'signup' THEN 'completed_approved'
@@ -44,3 +46,15 @@ def stream_dedup(spark, sf_dir):
     root = shared_dir(spark)
     S.drain(once, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(once.schema).parquet(f"{root}/out")
+
+
+@register("stream_snapshots", ORACLES["snapshot_ttl"])
+def stream_snapshots(spark, sf_dir):
+    """The snapshot lookup with views as entries of the state and all other events as questions."""
+    e = stream_parquet(spark, sf_dir, schemas.EVENTS, "events.parquet")
+    view, own = F.col("event_type") == "view", F.col("event_id").cast("string")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), "ts", F.when(~view, own).alias("id"), F.when(view, own).alias("value"))
+    root = shared_dir(spark)
+    K.drain(K.as_of(rows, 21600, "1 day"), f"{root}/out", f"{root}/checkpoint")
+    answers = spark.read.schema("id string, at timestamp_ntz, value string").parquet(f"{root}/out")
+    return answers.select("id", F.col("at").alias("cached_at"), F.col("value").alias("snapshot_id"))

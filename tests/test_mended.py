@@ -33,3 +33,14 @@ def test_single_part_of_another_type_is_the_body(spark):
     ], "message_id string, part_no int, mime_type string, data string")
     got = {r.message_id: r.body for r in M.select_body(parts).collect()}
     assert got == {"one": "BEGIN", "none": "plain words", "two": M.NO_BODY, "empty": M.NO_BODY}
+
+
+def test_messages_without_a_thread(spark):
+    rows = [("t", 1, "a"), ("t", 2, "b"), ("t", 2, "b"), (None, 1, "c"), (None, 2, "d"), ("c", 3, "e"), (None, 4, None), (None, None, None),
+            ("u", None, "f"), ("u", 1, "g")]
+    df = spark.createDataFrame(rows, "thread_id string, position int, own string")
+    got = sorted(((r.thread_id, r.position, r.own, r.in_reply_to, r.references) for r in M.thread_references(df, F.col("own")).collect()), key=str)
+    want = [("t", 1, "a", None, "<a>"), ("t", 2, "b", "a", "<a> <b>"), ("t", 2, "b", "a", "<a> <b>"), (None, 1, "c", None, "<c>"),
+            (None, 2, "d", None, "<d>"), ("c", 3, "e", "c", "<c> <e>"), (None, 4, None, None, ""), (None, None, None, None, ""),
+            ("u", None, "f", None, "<f>"), ("u", 1, "g", "f", "<f> <g>")]
+    assert got == sorted(want, key=str)
