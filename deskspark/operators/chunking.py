@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +12,13 @@ from pyspark.sql import Window as W
 
 from deskspark import rules as R
 from deskspark.functions import text as X
+from deskspark.functions.isolation import isolated
 from deskspark.settings import DEFAULTS, Settings
 
 UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
 FENCE = "```"
 TILDES = "~~~"
+SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def _code_spans(lines: Column) -> Column:
@@ -144,18 +146,39 @@ def _pack(units: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in chunks if c]
 
 
+def pieces(text: str | None, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """Pieces of a text of at most `size` characters; a short one stays whole, an empty one has none."""
+    if not text:
+        return []
+    return [text] if len(text) <= size else _pieces(text, size, overlap, separators)
+
+
 def size_splitter(settings: Settings = DEFAULTS):
     """Arrow-batched column function text -> array of pieces; short texts stay whole."""
     size, overlap = settings.chunk_size, settings.chunk_overlap
-    separators = ("\n\n", "\n", " ", "")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [t] if len(t) <= size else _pieces(t, size, overlap, separators))
+        return texts.map(lambda t: pieces(t, size, overlap, SEPARATORS))
 
     return split
 
 
+def split_or_fall_back(docs: DataFrame, splitter: Callable[[str], list[str]], column: str = "content", settings: Settings = DEFAULTS) -> DataFrame:
+    """Documents cut into sections by a user's splitter, long sections by size: (..., section, piece, `column`, error_message).
+
+    A document on which the splitter fails is cut by size as a whole, as one section, and carries the error; others are not touched by it.
+    """
+    rest = [c for c in docs.columns if c != column]
+    cut = isolated(lambda texts: [splitter(t) for t in texts], "array<string>")
+    parts = docs.withColumn("_s", cut(F.col(column))).withColumns({
+        "error_message": F.col("_s.error"),
+        "_all": F.when(F.col("_s.error").isNull(), F.col("_s.value")).otherwise(F.array(column)),
+    })
+    sections = parts.select(*rest, "error_message", F.posexplode("_all").alias("section", column)).where(F.col(column) != "")
+    return split_long(sections, column, settings)
+
+
 def split_long(sections: DataFrame, column: str = "content", settings: Settings = DEFAULTS) -> DataFrame:
     """Explode sections into pieces. Only long texts travel to Python; short ones stay in the JVM."""
     rest = [c for c in sections.columns if c != column]

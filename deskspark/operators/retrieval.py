@@ -148,6 +148,18 @@ def rerank(
     )
 
 
+def rerank_or_keep(
+    candidates: DataFrame, k: int, scorer: Callable[[Column, Column], Column], keep: int | None = None,
+) -> DataFrame:
+    """As rerank, with a scorer that gives (value, error) structs (functions.isolation): a query with a pair that failed keeps its
+    first rows in their order with their scores. Adds error_message, the first failure of the query."""
+    scored = candidates.withColumn("_r", scorer(F.col("query"), F.col("text")))
+    failed = scored.withColumn("error_message", F.min("_r.error").over(W.partitionBy("query_id")))
+    whole = rerank(failed.where("error_message IS NULL").withColumn("_v", F.col("_r.value")), k, lambda q, t: F.col("_v"), keep)
+    rest = failed.where("error_message IS NOT NULL AND rank <= " + str(keep or k))
+    return whole.drop("_r", "_v").unionByName(rest.drop("_r"))
+
+
 def cleaned_lines(text: Column) -> Column:
     """Lines of a model's list answer: trimmed, longer than 10 characters, numbering removed."""
     lines = F.transform(F.split(text, "\n"), X.strip)

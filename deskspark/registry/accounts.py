@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from deskspark import sql_access
 from deskspark.operators import accounts as A
 from deskspark.registry import register
 from deskspark.registry.views import table
@@ -281,3 +282,20 @@ def snapshot_ttl(spark, sf_dir):
     s = e.filter("event_type = 'view'").select("email", F.col("ts").alias("cached_at"),
                                                F.col("event_id").cast("string").alias("snapshot_id"))
     return A.fresh_snapshots(m, s, replace(DEFAULTS, account_ttl_seconds=21600))
+
+
+@register("sql_accounts", TYPED_SQL + """
+, e AS (SELECT event_id, 'user' || user_id || '@example.com' AS sender FROM events WHERE event_type <> 'view')
+SELECT e.event_id, t.customer_id, t.plan_name, CAST(floor((epoch(t.next_billing_date) - epoch(TIMESTAMP '1998-06-15 12:30:00')) / 86400) AS BIGINT) AS days,
+  CASE WHEN t.plan_price >= 8 THEN 'high' WHEN t.plan_price >= 5 THEN 'middle' WHEN t.plan_price IS NOT NULL THEN 'low' END AS band
+FROM e JOIN typed t ON t.email = e.sender WHERE t.plan_price >= 5""")
+def sql_accounts(spark, sf_dir):
+    """Account lookup in SQL: views, a table function called for each mail, scalar functions and bound parameters."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.concat(F.lit("user"), F.col("user_id"), F.lit("@example.com")).alias("sender"))
+    sql_access.publish(spark, accounts=A.one_per_address(typed(spark, sf_dir)), asking=events)
+    return sql_access.ask(spark, """
+        SELECT q.event_id, a.customer_id, a.plan_name, days_until(a.next_billing_date, cast(:now AS TIMESTAMP_NTZ)) AS days,
+          score_band(a.plan_price) AS band
+        FROM asking q, LATERAL account_of(q.sender) a WHERE q.event_type <> :kind AND a.plan_price >= :least""",
+        now="1998-06-15 12:30:00", kind="view", least=5)

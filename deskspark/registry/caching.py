@@ -8,6 +8,8 @@ from deskspark.functions import text as X
 from deskspark.operators import cache as I
 from deskspark.registry import register
 from deskspark.registry.views import mails, sql_strip, table, with_ctes
+from deskspark.session import shared_dir
+from deskspark.sinks import counted
 
 AS_OF = "2024-01-08 02:00:00"
 KEY_SQL = "md5(" + sql_strip(
@@ -106,6 +108,14 @@ def cache_purge(spark, sf_dir):
     return I.unexpired(cache_table(spark, sf_dir), as_of()).select("cache_key", "ts")
 
 
+@register("purge_counts", CACHE_SQL + """
+SELECT (SELECT count(*) FROM cache) AS before, (SELECT count(*) FROM live) AS after, (SELECT count(*) FROM cache) - (SELECT count(*) FROM live) AS removed""")
+def purge_counts(spark, sf_dir):
+    """The purge as a write, with the entry counts it gives without another pass."""
+    got = counted.purge(cache_table(spark, sf_dir), as_of(), f"{shared_dir(spark)}/live")
+    return spark.createDataFrame([(got["before"], got["after"], got["removed"])], "before long, after long, removed long")
+
+
 @register("cache_stats", CACHE_SQL + f"""
 , g AS (SELECT category, TIMESTAMP '{AS_OF}' - ts > INTERVAL 168 HOURS AS gone FROM cache)
 SELECT category, count(*) AS total_entries, count(*) FILTER (WHERE NOT gone) AS active_entries, count(*) FILTER (WHERE gone) AS expired_entries

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from deskspark import rules as R
+from deskspark import sql_access
 from deskspark.functions import text as X
 from deskspark.operators import chunking as E
 from deskspark.operators import index as IX
 from deskspark.operators import postings as P
 from deskspark.registry import register
 from deskspark.registry.views import any_contains, sql_strip, table
+from deskspark.settings import DEFAULTS
 
 # Markdown derived from each document: every text line opens a level-2 section named after its first
 # word; a fence, a level-4 header and a second level-1 header follow.
@@ -70,6 +74,37 @@ def size_split(spark, sf_dir):
     return E.split_long(d).select("doc_id", "piece", "content")
 
 
+def _lines(text: str) -> list[str]:
+    """Splitter that fails on some texts, as a user's may."""
+    if text.count("\n") % 3 == 2:
+        raise ValueError("two lines too many")
+    return text.split("\n")
+
+
+@register("split_fallback", r"""
+WITH d AS (SELECT doc_id, text, len(text) - len(replace(text, chr(10), '')) AS breaks FROM documents WHERE text <> '')
+SELECT doc_id, breaks % 3 = 2 AS plain, CASE WHEN breaks % 3 = 2 THEN 1 ELSE len(list_filter(string_split(text, chr(10)), lambda l: l <> '')) END AS sections,
+  md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM d""")
+def split_fallback(spark, sf_dir):
+    """A splitter that fails on a third of the documents: these are cut by size alone, and nothing of any text is lost."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).where("content <> ''")
+    pieces = E.split_or_fall_back(d, _lines, settings=replace(DEFAULTS, chunk_overlap=0))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "piece", "content"))), lambda p: p["content"]), "")
+    return pieces.groupBy("doc_id").agg(
+        F.first("error_message").isNotNull().alias("plain"), F.count_distinct("section").alias("sections"),
+        F.md5(F.regexp_replace(whole, r"\s+", "")).alias("digest"))
+
+
+@register("split_udtf", r"""
+SELECT doc_id, true AS fits, md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE text <> ''""")
+def split_udtf(spark, sf_dir):
+    """The size split as a table function of SQL; without overlap the pieces hold the whole text."""
+    sql_access.publish(spark, texts=table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = sql_access.ask(spark, "SELECT * FROM split_text(TABLE(texts) PARTITION BY (doc_id), 'text', 1000, 0)")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "")
+    return pieces.groupBy("doc_id").agg((F.max(F.length("text")) <= 1000).alias("fits"), F.md5(F.regexp_replace(whole, r"\s+", "")).alias("digest"))
+
+
 @register("build_chunks")
 def build_chunks(spark, sf_dir):
     return E.build_chunks(markdown(spark, sf_dir))

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from deskspark import rules as R
+from deskspark.functions.isolation import isolated
 from deskspark.operators import index as IX
 from deskspark.operators import postings as P
 from deskspark.operators import retrieval as F_
@@ -160,6 +161,27 @@ def rerank(spark, sf_dir):
     return F_.rerank(rows, 4).select("query_id", "doc_id", "score", "rank")
 
 
+def _moody(queries: list[str], texts: list[str]) -> list[float]:
+    """Pair scorer that fails on some texts, as a user's may."""
+    if any(len(t) % 11 == 0 for t in texts):
+        raise RuntimeError("a text of this length")
+    return [len(t) % 97 / 97 for t in texts]
+
+
+@register("rerank_fallback", f"""WITH {QUERIES_SQL}, {stats_ctes()}, {kw_cte()}, {kw_top_cte(12)},
+c AS (SELECT k.qid, k.doc_id, k.rank, k.score, round(len(d.text) % 97 / 97.0::DOUBLE, 9) AS s, len(d.text) % 11 = 0 AS bad, count(*) OVER (PARTITION BY k.qid) AS n
+  FROM kw_top k JOIN documents d USING (doc_id)),
+f AS (SELECT *, bool_or(bad) OVER (PARTITION BY qid) AS failed FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n > 4 AND NOT failed THEN s END DESC, rank) AS place FROM f)
+SELECT qid AS query_id, doc_id, failed, round(CASE WHEN n > 4 AND NOT failed THEN 1 - s ELSE score END, 6) AS score, CAST(place AS INTEGER) AS rank FROM r WHERE place <= 4""")
+def rerank_fallback(spark, sf_dir):
+    """A scorer that fails on some texts: their queries keep the order they had, all others are re-ranked."""
+    q, ix, docs = asking(spark, sf_dir), document_index(spark, sf_dir), documents(spark, sf_dir)
+    rows = P.search(q, ix, 12).join(docs, "doc_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
+    out = F_.rerank_or_keep(rows, 4, isolated(_moody, "double"))
+    return rounded(out.select("query_id", "doc_id", F.col("error_message").isNotNull().alias("failed"), "score", "rank"))
+
+
 CLEAN_LINES_SQL = ("list_transform(list_filter(list_transform(string_split({0}, chr(10)), lambda l: " + sql_strip("l")
                    + r"), lambda l: len(l) > 10), lambda l: regexp_replace(l, '^\d+[.)]\s*', ''))")
 
