@@ -4,20 +4,20 @@ Counts. Tokens are the words of a text, A-Z lower-cased, then one end mark. Ever
 and pairs of neighbours in numpy, adds up what it has seen until FLUSH distinct keys, and hands on (key, count);
 Spark sums them over the whole training part, so what is gathered grows with the input.
 
-Model. A pair is held if its relative frequency is at least 1 / HELD, that is if its count is at least
-floor_ = max(1, N / HELD): at most HELD pairs can reach that, at every size, so the filter's size is proven.
-Its count is quantised on a logarithmic scale, level = 1 + floor(log2(count / floor_)), and the pair is put into
-the filter once for each level up to its own (Talbot and Osborne). Since 1 + log2(x) <= x, all pairs together
-need HELD entries at most: the filter has BITS = 8 * HELD bits. A query probes level 1, 2, ... until the first
+Model. A pair is held if its count is at least floor_, the smallest power of two for which the filter has HELD
+entries at most; the histogram of the counts' magnitudes, 64 numbers, tells. A count is quantised on a logarithmic scale,
+level = 1 + log2(count / floor_) rounded down, and the pair is put into the filter once for each level up to its own
+(Talbot and Osborne). Since 1 + log2(x) <= x, a floor of N / HELD or more always does, at every size, so the filter has
+BITS = 8 * HELD bits. A query probes level 1, 2, ... until the first
 miss; a false hit overstates a count by one level with a probability of about 2 %. The filter is blocked: all
 probes of a key fall into one of SEGMENTS segments, each built by one task and sent to the driver as one row.
 
 Pairs below the floor keep their exact counts in a table; a probe without a hit is joined with it by a shuffle. With
 a floor of 1 there are none, and a miss is a count of 0.
 
-Words have exact counts. Those with a relative frequency of at least 1 / WORDS (so WORDS of them at most) are
+Words have exact counts. Those seen at least `least` times, the smallest power of two that WORDS of them at most reach, are
 broadcast as sorted arrays; the others are joined with their counts by a shuffle, both as words and as the
-word before, after the text's equal entries were added up.
+word before, after the text's equal entries were added up. With a `least` of 1 there are no others.
 
 Score. P(w | v) = (1 - L) * P(w) + L * c(v w) / c(v) with P(w) = (c(w) + 1) / (N + V + 1), where c(v w) is the
 pair's dequantised count, or its exact one below the floor; L is the weight of the pair model. A text's first word and
@@ -29,7 +29,6 @@ trained on and scored as often as they come; rows that share an id are told apar
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -197,6 +196,7 @@ class Model:
     word_counts: np.ndarray
     tokens: int
     distinct: int
+    least: int = 1
 
     def pair_levels(self, keys: np.ndarray) -> np.ndarray:
         """Probe levels upward until the first miss."""
@@ -240,6 +240,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(id_hash(id_col) % MOD == LEFT_OUT, F.lit(False))
 
 
+def smallest(sizes: dict[int, int], cost, most: int) -> int:
+    """The smallest power of two 2**j so that cost(b - j) of all sizes[b], b >= j, add up to `most` at most."""
+    j = 0
+    while sum(n * cost(b - j) for b, n in sizes.items() if b >= j) > most:
+        j += 1
+    return 1 << j
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = HELD,
         words: int = WORDS) -> tuple[Model, DataFrame, DataFrame]:
     """(model, rare, few): (key, n) each, the exact counts of the words and of the pairs that are not in the model."""
@@ -250,17 +258,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int =
     found = materialise(raw, "ngram_counts")
     total = found.where("kind = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    floor_ = max(1, math.ceil(n / held))
+    magnitude = F.length(F.bin("n")) - 1
+    sizes: dict[int, dict[int, int]] = {1: {}, 2: {}}
+    for row in found.groupBy("kind", magnitude.alias("b")).agg(F.count("*").alias("n")).collect():
+        sizes[row["kind"]][row["b"]] = row["n"]
+    floor_ = smallest(sizes[2], lambda levels: levels + 1, held)
+    least = smallest(sizes[1], lambda levels: 1, words)
     pairs = found.where((F.col("kind") == 2) & (F.col("n") >= floor_))
     size = 8 * held // SEGMENTS
     bits = np.zeros((SEGMENTS, size // 8), np.uint8)
     for row in filter_segments(pairs, floor_, held).toLocalIterator():
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    least = max(1, math.ceil(n / words))
     top = found.where((F.col("kind") == 1) & (F.col("n") >= least)).select("key", "n").toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(bits.reshape(-1), floor_, size, keys[order], top.column("n").to_numpy()[order], n, v)
+    model = Model(bits.reshape(-1), floor_, size, keys[order], top.column("n").to_numpy()[order], n, v, least)
     rare = found.where((F.col("kind") == 1) & (F.col("n") < least)).select("key", "n")
     return model, rare, found.where((F.col("kind") == 2) & (F.col("n") < floor_)).select("key", "n")
 
@@ -285,14 +297,15 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
                 count, inner = m.frequent(h), _inner(sizes)
                 starts = np.cumsum(sizes) - sizes
                 known = count > 0
-                base = np.where(known, m.log_p(count), 0.0)
+                sure = known | (m.least == 1)  # else the count may be one of the rare words
+                base = np.where(sure, m.log_p(count), 0.0)
                 # counts of the word before (-1: there is none, 0: not in the model) and of the pair (-1: to be looked up)
                 at = np.flatnonzero(inner)
                 before, pair, key = np.full(len(h), -1), np.zeros(len(h)), pair_keys(h, h)
                 before[at], key[at] = count[at - 1], pair_keys(h[at - 1], h[at])
                 held = m.pair_counts(key[at])
                 pair[at] = held if m.floor_ == 1 else np.where(held > 0, held, -1.0)
-                done = known & (before != 0) & (pair >= 0)
+                done = sure & ((before != 0) | (m.least == 1)) & (pair >= 0)
                 p = (count + 1.0) / (m.tokens + m.distinct + 1.0)
                 ratio = np.minimum(1.0, pair / np.maximum(before, 1))
                 full = np.log10(np.where(before > 0, (1 - pair_weight) * p + pair_weight * ratio, p))
@@ -303,7 +316,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
                 table = np.empty(len(rest), [("t", np.int64), ("w", np.uint64), ("wn", np.int64), ("v", np.uint64),
                                              ("vn", np.int64), ("p", np.uint64), ("pn", np.float64)])
                 table["t"], table["wn"], table["vn"], table["pn"] = text_of[rest], count[rest], before[rest], pair[rest]
-                table["w"] = np.where(known, none, h)[rest]
+                table["w"] = np.where(sure, none, h)[rest]
                 table["v"] = np.where(before == 0, np.concatenate((h[:1], h[:-1])), none)[rest]
                 table["p"] = np.where(pair < 0, key, none)[rest]
                 entry, times = np.unique(table, return_counts=True)
@@ -324,14 +337,14 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
     scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
     met = scanned.select("row", F.explode(F.arrays_zip(*parts)).alias("e")).select("row", "e.*")
     for key, counted in (("w", rare), ("v", rare), ("p", few)):
-        if key != "p" or model.floor_ > 1:
+        if (model.floor_ if key == "p" else model.least) > 1:
             met = met.join(counted.select(F.col("key").alias(key), F.col("n").alias(f"{key}_n")), key, "left")
         else:
-            met = met.withColumn("p_n", F.lit(0))
+            met = met.withColumn(f"{key}_n", F.lit(0))
     word = F.when(F.col("wn") > 0, F.col("wn")).otherwise(F.coalesce("w_n", F.lit(0)))
     before = F.when(F.col("vn") == 0, F.coalesce("v_n", F.lit(0))).otherwise(F.col("vn"))
     pair = F.when(F.col("pn") < 0, F.coalesce("p_n", F.lit(0))).otherwise(F.col("pn"))
-    met = met.select("row", "times", (F.col("wn") == 0).alias("open"), word.alias("n"), before.alias("before"), pair.alias("pair"))
+    met = met.select("row", "times", ((F.col("wn") == 0) & F.lit(model.least > 1)).alias("open"), word.alias("n"), before.alias("before"), pair.alias("pair"))
     p = (F.col("n") + 1.0) / float(model.tokens + model.distinct + 1)
     ratio = F.least(F.lit(1.0), F.col("pair") / F.greatest("before", F.lit(1)))
     mixed = F.when(F.col("before") > 0, F.lit(1 - pair_weight) * p + F.lit(pair_weight) * ratio).otherwise(p)
