@@ -143,9 +143,9 @@ def asked(spark):
     return spark.createDataFrame([*QUERIES, (9, None)], "query_id long, text string")
 
 
-@pytest.mark.parametrize("block, first_terms, candidates", [(128, 8, 4), (4, 1, 1), (1, 2, 1)])
-def test_skipped_blocks_change_nothing(spark, asked, monkeypatch, block, first_terms, candidates):
-    for name, value in (("BLOCK", block), ("FIRST_TERMS", first_terms), ("FIRST_CANDIDATES", candidates)):
+@pytest.mark.parametrize("block, first_terms, candidates, direct", [(128, 8, 4, 1 << 18), (4, 1, 1, 0), (1, 2, 1, 60)])
+def test_skipped_blocks_change_nothing(spark, asked, monkeypatch, block, first_terms, candidates, direct):
+    for name, value in (("BLOCK", block), ("FIRST_TERMS", first_terms), ("FIRST_CANDIDATES", candidates), ("DIRECT", direct)):
         monkeypatch.setattr(P, name, value)
     docs = library(250, 5)
     df = spark.createDataFrame([*docs, (None, "the r5")], "doc_id long, text string").selectExpr("*", "'x' AS term", "1 AS n")
@@ -153,6 +153,9 @@ def test_skipped_blocks_change_nothing(spark, asked, monkeypatch, block, first_t
     for k in (1, 5, 60):
         want = {q: b for q, t in QUERIES if (b := best(okapi(docs, t), k))}
         assert found(P.search(asked, index, k)) == want
+        monkeypatch.setattr(P, "DEAR", 0.0)  # no candidate is dear: all are scored from forward rows
+        assert found(P.search(asked, index, k)) == want
+        monkeypatch.setattr(P, "DEAR", 1.0)
         assert found(P.search(asked, index, k, skip=False)) == want
     if block < 128:
         w = P.work(asked, index, 1).first()
