@@ -191,7 +191,7 @@ def _routes(queries: DataFrame, index: VectorIndex, cells, nearest_only: bool) -
     kind, width = queries.schema["query_id"].dataType.simpleString(), centers.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in batches if len(number) else ():
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 d = np.sqrt(_squares(_matrix(batch.column(1), width), centers))
                 if nearest_only:
