@@ -33,6 +33,11 @@ def asking(spark, sf_dir):
     return b.join(e, "query_id", "left")
 
 
+def labelled_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.filter(F.col("label").isin(3, 7)).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
 def stored_vectors(spark, sf_dir):
     return V.build(vectors(spark, sf_dir))
 
@@ -97,9 +102,9 @@ def knn(spark, sf_dir):
   FROM embeddings q CROSS JOIN embeddings e WHERE e.label IN (3, 7))) WHERE rank <= 4)
 SELECT qid AS query_id, doc_id, d AS distance, rank FROM near""")
 def knn_filtered(spark, sf_dir):
-    """Metadata filter applied before the search, so it reaches the scan."""
+    """Metadata filter applied before the vectors are stored, so it reaches the scan."""
     e = table(spark, sf_dir, "embeddings")
-    items = e.filter(F.col("label").isin(3, 7)).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    items = labelled_vectors(spark, sf_dir)
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return V.search(q, V.build(items), 4)
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from deskspark.registry.retrieval import labelled_vectors
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
@@ -26,7 +27,7 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 
 def test_columns_and_filters_reach_the_scan(spark):
-    text = entry.queries()["knn_filtered"](spark, SF)._jdf.queryExecution().toString()
+    text = plan(labelled_vectors(spark, SF))
     assert "PushedFilters: [In(label" in text
     text = plan(entry.queries()["status_breakdown"](spark, SF))
     assert "ReadSchema: struct<event_type:string,props:string>" in text
