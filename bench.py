@@ -19,8 +19,7 @@ HEADLINE = (
     "snapshot_ttl", "pii_redact", "toxic_terms", "quality_score", "reply_cleanup", "content_key",
     "cache_exact", "cache_fuzzy", "dedup_content", "md_sections", "build_chunks", "bm25_stats", "knn",
     "bm25", "hybrid_search", "rrf", "compress", "retrieve_standard", "dual_retrieve", "run_summary",
-    "action_decision", "mail_flow", "stream_drain", "stream_status", "score_fusion", "rerank", "size_split",
-    "index_append", "retrieve_advanced", "sql_accounts", "split_udtf", "purge_counts",
+    "action_decision", "mail_flow", "stream_drain", "stream_status", "sql_accounts", "purge_counts",
 )
 
 
