@@ -176,6 +176,30 @@ def test_line_dedup_null_and_repeated_ids(spark):
     assert all(b <= a for a, b, _ in got)
 
 
+def test_line_dedup_of_files_with_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    bases = [[rng.choice("abcdefghij") for _ in range(n)] for n in (5, 5, 6, 7, 8, 9, 12, 40) for _ in range(3)]
+
+    def line():
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w))
+            w[k:k + 1] = rng.choice([[], [rng.choice("abcxyz")], [w[k], rng.choice("abcxyz")]])
+        return " ".join(w)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(1, 5))), "kept", i, "x", i, "y", "z") for i in range(200)]
+    rows.append((200, " ".join("w%d" % (k % 977) for k in range(5000)), "kept", 0, "x", 0, "y", "z"))
+    rows.append((201, " ".join("w%d" % (k % 977) for k in range(5001) if k != 4000), "kept", 0, "x", 0, "y", "z"))
+    shape = "doc_id long, text string, n_lines string, row long, hit string, line long, doc string, id string"
+    spark.createDataFrame(rows, shape).repartition(3).write.parquet(str(tmp_path / "docs"))
+    out = line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted(out.columns) == sorted(["doc_id", "text", "row", "hit", "line", "doc", "id", "n_lines", "n_dropped", "kept_text"])
+    got = out.collect()
+    want = brute.line_dedup([r[:2] for r in rows])
+    assert {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 100 and all((r.row, r.hit, r.id) == (r.doc_id, "x", "z") for r in got if r.doc_id < 200)
+
+
 def test_simhash(docs, rows, empty):
     import xxhash
 
