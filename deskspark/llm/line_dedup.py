@@ -220,6 +220,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                          dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
     untouched = result(flagged.where("not hit"), F.lit(0), filled(F.col("text")))
-    met = flagged.where("hit").join(gone, "row", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
+    # the lists grow with the documents, so they are never broadcast, however few there are
+    met = flagged.where("hit").join(gone.hint("merge"), "row", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
     kept = F.filter(cut, lambda _, i: ~F.array_contains("lines", i))
     return untouched.unionByName(result(met, F.size("lines"), F.array_join(kept, "\n")))
