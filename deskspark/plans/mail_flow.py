@@ -25,6 +25,8 @@ from deskspark.operators import reports as J
 from deskspark.operators import retrieval as RT
 from deskspark.operators.index import KeywordIndex
 from deskspark.operators.ranking import keyword_top
+from deskspark.plans import revision as RV
+from deskspark.session import materialise
 from deskspark.settings import DEFAULTS, Settings
 
 THANKS = "Thank you for your note. We have passed it on to the people in charge."
@@ -54,13 +56,14 @@ def mail_flow(
     mails: DataFrame, accounts: DataFrame, kb: Knowledge, as_of: str,
     cache: DataFrame | None = None, replies: DataFrame | None = None,
     ladder: Sequence[R.LadderRule] = R.LADDER, account_terms: Sequence[str] = R.ACCOUNT_TERMS,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, redraft: RV.Redraft | None = None,
 ) -> DataFrame:
     """One result row per mail.
 
     mails (id, sender, subject, body, received_at); accounts: typed account rows; `replies`
     (id, reply) are raw model texts, which otherwise come from a fixed wording around the context;
-    `cache` rows are reused as replies when they match.
+    `cache` rows are reused as replies when they match. With `redraft`, replies that fail the review are
+    revised (see `plans.revision`; the text is in `draft`).
     """
     now = F.lit(as_of).cast("timestamp_ntz")
     classed = C.classify(mails, ladder=ladder)
@@ -97,7 +100,14 @@ def mail_flow(
     }).drop("docs", "account_context", "document_context", "wants_account")
 
     rows = _with_reply(rows, mails, cache, replies, now, settings)
-    reviewed = Q.review(rows, "draft").withColumn("route_ok", F.col("route") == "process")
+    if redraft is None:
+        reviewed = Q.review(rows, "draft").withColumn("revision_count", F.lit(0))
+    else:
+        rows = materialise(rows, "drafts")
+        answered = F.col("route") == "process"
+        others = Q.review(rows.where(~answered), "draft").withColumn("revision_count", F.lit(0))
+        reviewed = RV.revise(rows.where(answered), redraft, "draft", settings).unionByName(others)
+    reviewed = reviewed.withColumn("route_ok", F.col("route") == "process")
     approved = F.when(F.col("route") == "feedback", F.lit(True)).when(F.col("route_ok"), F.col("approved")).otherwise(False)
     score = (
         F.when(F.col("route") == "feedback", F.lit(10.0)).when(F.col("route_ok"), F.col("quality_score")).otherwise(0.0)
@@ -105,7 +115,7 @@ def mail_flow(
     draft = F.when(F.col("route_ok"), F.col("redacted_reply")).otherwise(F.col("draft"))
     results = reviewed.select(
         "id", "sender", "subject", "received_at", "category", "priority", "confidence", "route",
-        "context_from", "docs_retrieved", "used_cache", "digest", "name",
+        "context_from", "docs_retrieved", "used_cache", "digest", "name", "revision_count",
         J.final_status(F.col("route"), F.col("approved")).alias("status"),
         score.alias("qa_score"), approved.alias("qa_approved"),
         F.when(F.col("route_ok"), F.col("requires_redaction")).otherwise(False).alias("response_redacted"),
@@ -146,7 +156,8 @@ def _with_reply(rows, mails, cache, replies, now, settings):
 
 def cache_writes(results: DataFrame, mails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Cache rows of freshly approved, unrevised replies."""
-    fresh = results.filter("route = 'process' AND qa_approved AND NOT used_cache").select(
+    answered = results.filter("route = 'process' AND NOT used_cache").withColumn("approved", F.col("qa_approved"))
+    fresh = I.write_gate(answered).select(
         "id", "category", F.col("final_response").alias("response"), "qa_score", F.col("received_at").alias("ts"))
     return I.cache_rows(fresh.join(mails.select("id", "subject", "body"), "id"), settings)
 
@@ -157,7 +168,7 @@ def metrics(results: DataFrame) -> DataFrame:
     return results.select(
         F.col("id").alias("email_id"), "category", "priority", zero.alias("total_time"),
         zero.alias("classification_time"), zero.alias("retrieval_time"), zero.alias("generation_time"),
-        zero.alias("qa_time"), "qa_score", "qa_approved", F.lit(0).alias("revision_count"),
+        zero.alias("qa_time"), "qa_score", "qa_approved", "revision_count",
         "docs_retrieved", "used_cache", F.lit(False).alias("used_reranking"),
         F.lit(False).alias("used_hybrid"), "status")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskspark.operators import index as IX
+from deskspark.operators import quality as Q
 from deskspark.plans import mail_flow as P
 from deskspark.registry import register
 from deskspark.registry.accounts import SUMMARY_SQL, TYPED_SQL, typed
@@ -13,27 +14,39 @@ from deskspark.registry.quality import quality_cte, redact_sql
 from deskspark.registry.reply import DIGEST_SQL, NAME_SQL, signature_sql
 from deskspark.registry.retrieval import KB_DOCS, knowledge_base, kw_cte, kw_top_cte
 from deskspark.registry.corpus import stats_ctes
-from deskspark.registry.views import CTES, any_contains, mails
+from deskspark.registry.views import CTES, any_contains, mails, mails_of, table
 from deskspark.rules import ESCALATION_TERMS, LADDER_DEFAULT, SLOT_DEFAULTS
+from deskspark.session import shared_dir
+from deskspark.sources.mail import stream_parquet
+from deskspark.streaming import flow_stream as MS
+from deskspark.streaming import ledger as L
 
 AS_OF = "1998-06-15 12:30:00"
 ACCOUNT_WORDS = ["ment", "ption", "hate"]
 
 
-def flow(spark, sf_dir):
-    m = mails(spark, sf_dir).select(
-        "id", F.concat(F.lit("user"), F.col("doc_id"), F.lit("@example.com")).alias("sender"),
-        "subject", "body", "received_at")
+def addressed(m):
+    return m.select("id", F.concat(F.lit("user"), F.col("doc_id"), F.lit("@example.com")).alias("sender"),
+                    "subject", "body", "received_at")
+
+
+def sides(spark, sf_dir):
+    """What mails are answered from: account rows and the knowledge base."""
     kb = knowledge_base(spark, sf_dir)
-    known = P.Knowledge(kb, IX.stored_index(kb))
-    return P.mail_flow(m, typed(spark, sf_dir), known, AS_OF, ladder=FITTED, account_terms=ACCOUNT_WORDS)
+    return typed(spark, sf_dir), P.Knowledge(kb, IX.stored_index(kb))
+
+
+def flow(spark, sf_dir, redraft=None):
+    accounts, known = sides(spark, sf_dir)
+    return P.mail_flow(addressed(mails(spark, sf_dir)), accounts, known, AS_OF, ladder=FITTED,
+                       account_terms=ACCOUNT_WORDS, redraft=redraft)
 
 
 def _reply(text: str) -> str:
     return f"'Dear ' || name || ',' || chr(10) || chr(10) || {text} || chr(10) || chr(10) || '{P.CLOSING}'"
 
 
-FLOW_SQL = "WITH " + CTES["mails"] + f""",
+FLOW_HEAD = "WITH " + CTES["mails"] + f""",
 x AS (SELECT id, 'user' || doc_id || '@example.com' AS sender, subject, body, received_at, lower(subject) || ' ' || lower(body) AS t FROM mails),
 classed AS (SELECT *, {ladder_sql('', FITTED, LADDER_DEFAULT)} FROM x),
 routed AS (SELECT *, CASE WHEN category IN ('feedback', 'feature_request') THEN 'feedback'
@@ -54,7 +67,9 @@ ctx AS (SELECT r.*, a.account_context, CASE WHEN r.route = 'process' AND r.categ
 written AS (SELECT *, CASE WHEN route = 'feedback' THEN {_reply("'" + P.THANKS + "'")}
     ELSE {_reply("'Thank you for your message about ' || subject || '.' || chr(10) || chr(10) || coalesce(account_context, nullif(doc_context, ''), '" + SLOT_DEFAULTS['context'] + "')")} END AS raw FROM ctx),
 signed AS (SELECT *, {signature_sql('raw')} AS reply FROM written)
-{quality_cte('signed')},
+"""
+
+FLOW_SQL = FLOW_HEAD + f"""{quality_cte('signed')},
 done AS (SELECT *, CASE WHEN route = 'skip' THEN 'completed_skipped' WHEN route = 'feedback' OR approved THEN 'completed_approved' ELSE 'requires_manual_review' END AS status,
     CASE WHEN route = 'skip' THEN '' WHEN route = 'process' THEN {redact_sql('reply')} ELSE reply END AS final_response FROM scored),
 act AS (SELECT *, status = 'completed_approved' AND final_response <> '' AS ok, {any_contains('lower(final_response)', ESCALATION_TERMS)} AS esc FROM done)
@@ -69,11 +84,49 @@ SELECT id, category, priority, route,
 FROM act"""
 
 
+SHOWN = ("id", "category", "priority", "route", "context_from", "docs_retrieved", "status", "qa_score",
+         "final_response", "feedback_line", "action", "email_sent")
+
+
 @register("mail_flow", FLOW_SQL)
 def mail_flow(spark, sf_dir):
-    return flow(spark, sf_dir).select(
-        "id", "category", "priority", "route", "context_from", "docs_retrieved", "status", "qa_score",
-        "final_response", "feedback_line", "action", "email_sent")
+    return flow(spark, sf_dir).select(*SHOWN)
+
+
+@register("stream_flow", FLOW_SQL)
+def stream_flow(spark, sf_dir):
+    """The mail job over a stream of documents, drained once; its committed results are those of the batch job."""
+    accounts, known = sides(spark, sf_dir)
+    schema = table(spark, sf_dir, "documents").schema
+    stream = addressed(mails_of(stream_parquet(spark, sf_dir, schema, "documents.parquet")))
+    root = shared_dir(spark)
+    work = MS.flow_batch(accounts, known, AS_OF, ladder=FITTED, account_terms=ACCOUNT_WORDS)
+    L.drain(stream, L.once_per_batch(root, work), f"{root}/checkpoint")
+    return L.committed(spark, root, "results").select(*SHOWN)
+
+
+#: The last revision asks for more: what a third draft adds to the second.
+MORE = " We understand how inconvenient this is and are here to help."
+
+
+def _redraft(rows, attempt):
+    text = Q.redact(F.col("draft"))
+    return rows.withColumn("revised", text if attempt == 1 else F.concat(text, F.lit(MORE)))
+
+
+@register("flow_revision", FLOW_HEAD + f""",
+first AS (SELECT id, route, reply FROM signed WHERE route = 'process'),
+second AS (SELECT id, route, {redact_sql('reply')} AS reply FROM first),
+third AS (SELECT id, route, {redact_sql('reply')} || '{MORE}' AS reply FROM second),
+tries AS (SELECT *, 0 AS attempt FROM first UNION ALL SELECT *, 1 FROM second UNION ALL SELECT *, 2 FROM third)
+{quality_cte('tries')},
+picked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY approved DESC, CASE WHEN approved THEN attempt ELSE -attempt END) AS rn FROM scored)
+SELECT id, attempt AS revision_count, CASE WHEN approved THEN 'completed_approved' ELSE 'requires_manual_review' END AS status,
+  quality_score AS qa_score, {redact_sql('reply')} AS final_response FROM picked WHERE rn = 1""")
+def flow_revision(spark, sf_dir):
+    """Replies of the mail job with two revisions: personal data taken out, then a sentence added."""
+    return flow(spark, sf_dir, _redraft).where("route = 'process'").select(
+        "id", "revision_count", "status", "qa_score", "final_response")
 
 
 @register("flow_status", f"SELECT status, route, count(*) AS mails, round(avg(qa_score), 6) AS avg_score FROM ({FLOW_SQL}) GROUP BY status, route")

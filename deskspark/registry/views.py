@@ -60,7 +60,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return mails_of(table(spark, sf_dir, "documents"))
+
+
+def mails_of(d: DataFrame) -> DataFrame:
     user = F.concat(F.lit("user"), F.col("doc_id") % 97)
     host = F.concat(F.col("source"), F.lit(".example.com"))
     address = F.concat(user, F.lit("@"), host)
