@@ -28,6 +28,22 @@ def hashing_vector(text: Column, dim: int = 256) -> Column:
     return X.let(counts(buckets), unit)
 
 
+def hashed_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
+    """(key, vector): the unit-length bag-of-words vector of each row with a word, for keys that are unique.
+
+    Work grows with the words alone: they are counted by bucket, combined map-side, and a key's counts, `dim` at
+    most, meet once. Documents and whatever is searched for must share `dim`.
+    """
+    word = rows.select(key, F.explode(X.words(F.col(text))).alias("word"))
+    bucket = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    counts = word.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    sums = counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by_bucket"),
+        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    at = lambda b: F.coalesce(F.try_element_at("by_bucket", b), F.lit(0)) / F.col("norm")
+    return sums.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at).alias("vector"))
+
+
 def encode(df: DataFrame, text: str, encoder: Callable[[Column], Column], out: str = "vector") -> DataFrame:
     """Add a vector column with a column function: built-in expression or pandas UDF."""
     return df.withColumn(out, encoder(F.col(text)))

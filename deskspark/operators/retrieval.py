@@ -18,6 +18,8 @@ from deskspark.settings import DEFAULTS, Settings
 
 
 DIGITS = 9
+#: (query_id, text) rows to (query_id, vector); rows without a vector may be left out.
+Encoder = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -237,20 +239,29 @@ def retrieval_summary(docs: DataFrame, key: str = "id") -> DataFrame:
         key, "docs_retrieved", F.transform("_rows", lambda r: r["source"]).alias("sources"))
 
 
+def encoded(search: DataFrame, encoder: Encoder | None) -> DataFrame:
+    """(query_id, text, vector) of what is searched: its own vectors, or those of the encoder for the text as it is now."""
+    if encoder is None:
+        return search.select("query_id", "text", "vector")
+    texts = materialise(search.select("query_id", "text"), "searched_texts")
+    return materialise(texts.join(encoder(texts), "query_id", "left"), "searched")
+
+
 def standard_retrieval(
     queries: DataFrame, docs: DataFrame, vectors: V.VectorIndex, index: TextIndex | None, k: int,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, encoder: Encoder | None = None,
 ) -> DataFrame:
     """Rewrite, hybrid search with over-fetch, re-rank, cut, compress.
 
     queries (query_id, text, vector[, rewrite]). Returns (query_id, rank, doc_id, score, content,
-    compressed).
+    compressed). With an encoder, the one of the stored vectors, an accepted rewrite is searched by its own
+    vector and queries need none.
     """
     if settings.use_rewrite and "rewrite" in queries.columns:
         asked = queries.withColumn("search", accepted_rewrite(F.col("text"), F.col("rewrite")))
     else:
         asked = queries.withColumn("search", F.col("text"))
-    search = asked.select("query_id", F.col("search").alias("text"), "vector")
+    search = encoded(asked.withColumn("text", F.col("search")), encoder)
     fetch = 3 * k if settings.use_rerank else k
     if settings.use_hybrid:
         found = hybrid_search(search, vectors, index, fetch, settings.alpha)
@@ -274,20 +285,22 @@ def _compressed(rows: DataFrame, settings: Settings) -> DataFrame:
 
 def advanced_retrieval(
     queries: DataFrame, docs: DataFrame, vectors: V.VectorIndex, index: TextIndex | None, k: int,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, encoder: Encoder | None = None,
 ) -> DataFrame:
     """Decompose, vary, search each variant, fuse by rank, re-rank, compress, cut.
 
     queries (query_id, text, vector, parts, variants): one search over all variants of all queries,
-    keyed (query, variant). Same result columns as the standard mode.
+    keyed (query, variant). Same result columns as the standard mode. With an encoder every variant is searched by
+    its own vector and queries need none; without one all variants of a query share its vector.
     """
+    own = ["vector"] if encoder is None else []
     subs = queries.withColumn("_subs", sub_queries(F.col("text"), F.col("parts")))
-    subs = subs.select("query_id", "vector", "variants", F.posexplode("_subs").alias("sub_no", "sub"))
+    subs = subs.select("query_id", *own, "variants", F.posexplode("_subs").alias("sub_no", "sub"))
     varied = subs.withColumn("_vars", query_variants(F.col("sub"), F.col("variants"), 2))
-    varied = varied.select("query_id", "vector", "sub_no", F.posexplode("_vars").alias("var_no", "text"))
+    varied = varied.select("query_id", *own, "sub_no", F.posexplode("_vars").alias("var_no", "text"))
     list_id = F.col("sub_no") * 10 + F.col("var_no")
-    keyed = varied.select(F.struct("query_id", list_id.alias("list_id")).alias("q"), "text", "vector")
-    search = keyed.select(F.to_json("q").alias("query_id"), "text", "vector")
+    keyed = varied.select(F.struct("query_id", list_id.alias("list_id")).alias("q"), "text", *own)
+    search = encoded(keyed.select(F.to_json("q").alias("query_id"), "text", *own), encoder)
     found = hybrid_search(search, vectors, index, 2 * k, settings.alpha)
     q = F.from_json("query_id", keyed.schema["q"].dataType)
     lists = found.withColumn("q", q).select("q.*", "doc_id", "rank").join(

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from deskspark import rules as R
+from deskspark.functions.encoders import hashed_vectors
 from deskspark.functions.isolation import isolated
 from deskspark.operators import index as IX
 from deskspark.operators import postings as P
@@ -242,7 +243,7 @@ def compress(spark, sf_dir):
     return m.select("id", "c.content", "c.compressed")
 
 
-@register("retrieve_standard", f"""WITH asked0 AS (SELECT item_id AS qid, b.text AS original, e.embedding AS vector,
+STANDARD_SQL = f"""asked0 AS (SELECT item_id AS qid, b.text AS original, e.embedding AS vector,
     CASE WHEN item_id % 3 = 0 THEN 'please: ' || replace(b.text, ',', '') WHEN item_id % 3 = 1 THEN 'too short' END AS rewrite
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 queries AS (SELECT qid, original, vector, CASE WHEN NOT (len({WORDS_SQL.format('original')}) > 8 AND contains(original, '?'))
@@ -253,16 +254,22 @@ c AS (SELECT h.qid, h.doc_id, h.rank, h.score, q.original, d.text, round({covera
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n > 2 THEN s END DESC, rank) AS INTEGER) AS place FROM c),
 cut AS (SELECT qid AS query_id, place AS rank, doc_id, CASE WHEN n > 2 THEN round(1 - s, 9) ELSE score END AS score, original, text FROM r WHERE place <= 2),
 {compress_cte('cut', 'original', 'text', 4, 'query_id, rank, doc_id, score', 'done')}
-SELECT * REPLACE (round(score, 6) AS score) FROM done""")
-def retrieve_standard(spark, sf_dir):
-    q = asking(spark, sf_dir)
+SELECT * REPLACE (round(score, 6) AS score) FROM done"""
+
+
+def with_rewrites(q):
     kind = F.col("query_id") % 3
-    q = q.withColumn("rewrite", F.when(kind == 0, F.concat(F.lit("please: "), F.replace(F.col("text"), F.lit(","), F.lit("")))).when(kind == 1, F.lit("too short")))
+    return q.withColumn("rewrite", F.when(kind == 0, F.concat(F.lit("please: "), F.replace(F.col("text"), F.lit(","), F.lit("")))).when(kind == 1, F.lit("too short")))
+
+
+@register("retrieve_standard", "WITH " + STANDARD_SQL)
+def retrieve_standard(spark, sf_dir):
+    q = with_rewrites(asking(spark, sf_dir))
     found = F_.standard_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2)
     return rounded(found)
 
 
-@register("retrieve_advanced", f"""WITH base AS (SELECT item_id, b.text, e.embedding AS vector, replace(b.text, '. ', chr(10)) AS lines
+ADVANCED_SQL = f"""base AS (SELECT item_id, b.text, e.embedding AS vector, replace(b.text, '. ', chr(10)) AS lines
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 s0 AS (SELECT *, ({CLEAN_LINES_SQL.format('lines')})[1:3] AS parts, {any_contains('lower(text)', R.COMPLEX_MARKS)} AND len({WORDS_SQL.format('text')}) > 10 AS cx FROM base),
 s1 AS (SELECT *, CASE WHEN cx AND len(parts) > 0 THEN parts ELSE [text] END AS subs FROM s0),
@@ -278,13 +285,72 @@ c AS (SELECT f.qid, f.doc_id, f.rank, f.score, b.text AS original, d.text, round
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n > 2 THEN s END DESC, rank) AS INTEGER) AS place FROM c),
 cut AS (SELECT qid AS query_id, place AS rank, doc_id, CASE WHEN n > 2 THEN round(1 - s, 9) ELSE score END AS score, original, text FROM r WHERE place <= 2),
 {compress_cte('cut', 'original', 'text', 4, 'query_id, rank, doc_id, score', 'done')}
-SELECT * FROM done""")
-def retrieve_advanced(spark, sf_dir):
-    q = asking(spark, sf_dir)
+SELECT * FROM done"""
+
+
+def with_variants(q):
     lines = F.replace(F.col("text"), F.lit(". "), F.lit("\n"))
-    q = q.withColumns({"parts": lines, "variants": lines})
-    settings = replace(DEFAULTS, use_variants=True, use_decomposition=True)
-    return F_.advanced_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2, settings)
+    return q.withColumns({"parts": lines, "variants": lines})
+
+
+VARIED = replace(DEFAULTS, use_variants=True, use_decomposition=True)
+
+
+@register("retrieve_advanced", "WITH " + ADVANCED_SQL)
+def retrieve_advanced(spark, sf_dir):
+    q = with_variants(asking(spark, sf_dir))
+    return F_.advanced_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2, VARIED)
+
+
+# ---- the same with vectors of the texts that are searched ---------------------------------
+
+
+def encoded_cte(name: str, source: str, key: str) -> str:
+    """CTE (key, vector): hashed bag-of-words vectors of (key, text) rows."""
+    return f"""{name}_n AS (SELECT {key} AS k, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS INTEGER) AS b, count(*) AS n
+  FROM (SELECT {key}, unnest({WORDS_SQL.format('text')}) AS word FROM {source}) GROUP BY ALL),
+{name}_u AS (SELECT k, sqrt(sum(n * n)) AS norm FROM {name}_n GROUP BY k),
+{name}_c AS (SELECT u.k, r.b, coalesce(n.n, 0) / u.norm AS c FROM {name}_u u CROSS JOIN (SELECT unnest(range(64))::INTEGER AS b) r LEFT JOIN {name}_n n ON n.k = u.k AND n.b = r.b),
+{name} AS (SELECT k AS {key}, list(c ORDER BY b) AS vector FROM {name}_c GROUP BY k)"""
+
+
+def encoded_sql(sql: str) -> str:
+    """The statement with encoded documents in place of the given vectors, and queries searched by vectors of their texts."""
+    head, tail = sql.split("\nqueries AS (", 1)
+    body, rest = tail.split("),\n", 1)
+    queries = f"plain AS ({body}),\n{encoded_cte('asked_vectors', 'plain', 'qid')},\n" \
+        "queries AS (SELECT p.* EXCLUDE (vector), v.vector FROM plain p LEFT JOIN asked_vectors v ON v.qid = p.qid),\n"
+    docs = encoded_cte("doc_vectors", "documents", "doc_id")
+    return f"""WITH {docs}, {head.replace('e.embedding', 'NULL::DOUBLE[]')}
+{queries}{rest.replace('CROSS JOIN embeddings e', 'CROSS JOIN (SELECT doc_id AS vec_id, vector AS embedding FROM doc_vectors) e')}"""
+
+
+def encoder(rows):
+    return hashed_vectors(rows, "query_id")
+
+
+def encoded_documents(spark, sf_dir):
+    return V.build(hashed_vectors(documents(spark, sf_dir), "doc_id"))
+
+
+def texts_asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@register("retrieve_standard_encoded", encoded_sql(STANDARD_SQL))
+def retrieve_standard_encoded(spark, sf_dir):
+    """An accepted rewrite is searched by its own vector, among vectors of the documents from the same encoder."""
+    return rounded(F_.standard_retrieval(
+        with_rewrites(texts_asked(spark, sf_dir)), documents(spark, sf_dir), encoded_documents(spark, sf_dir),
+        content_index(spark, sf_dir), 2, encoder=encoder))
+
+
+@register("retrieve_advanced_encoded", encoded_sql(ADVANCED_SQL))
+def retrieve_advanced_encoded(spark, sf_dir):
+    """Every part and variant of a query is searched by its own vector."""
+    return F_.advanced_retrieval(
+        with_variants(texts_asked(spark, sf_dir)), documents(spark, sf_dir), encoded_documents(spark, sf_dir),
+        content_index(spark, sf_dir), 2, VARIED, encoder)
 
 
 # ---- mails against a small knowledge base (the benchmark items) ----------------------------
