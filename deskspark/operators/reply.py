@@ -130,3 +130,13 @@ def feedback_lines(mails: DataFrame, at: Column, digest: Column | None = None) -
         F.date_format(at, "yyyy-MM-dd HH:mm:ss"), text,
     )
     return mails.select("id", "category", line.alias("line"))
+
+
+def prompt_inputs(body: Column, reply: Column, context: Column, settings: Settings = DEFAULTS) -> Column:
+    """Struct (body, reply, context) of what a prompt takes of each text: its first characters; a missing text is empty."""
+    def first(text: Column, n: int, name: str) -> Column:
+        return F.substring(F.coalesce(text, F.lit("")), 1, n).alias(name)
+
+    return F.struct(
+        first(body, settings.prompt_body_chars, "body"), first(reply, settings.prompt_reply_chars, "reply"),
+        first(context, settings.prompt_context_chars, "context"))

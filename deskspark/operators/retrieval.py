@@ -314,6 +314,23 @@ def advanced_retrieval(
     return _compressed(rows, settings).select("query_id", "rank", "doc_id", "score", "content", "compressed")
 
 
+def retrieve(
+    queries: DataFrame, docs: DataFrame, vectors: V.VectorIndex, index: TextIndex | None, k: int,
+    settings: Settings = DEFAULTS, encoder: Encoder | None = None,
+) -> DataFrame:
+    """Retrieval in the mode that the settings ask for: advanced with variants or decomposition, else standard."""
+    mode = advanced_retrieval if settings.advanced else standard_retrieval
+    return mode(queries, docs, vectors, index, k, settings, encoder)
+
+
+def probe(queries: DataFrame, docs: DataFrame, vectors: V.VectorIndex, k: int = 2, shown: int = 150) -> DataFrame:
+    """What a stored corpus answers: (query_id, rank, doc_id, distance, preview), the preview being the first characters in one line."""
+    found = V.search(queries, vectors, k)
+    preview = F.replace(F.substring("text", 1, shown), F.lit("\n"), F.lit(" "))
+    return found.join(docs.select("doc_id", preview.alias("preview")), "doc_id").select(
+        "query_id", "rank", "doc_id", "distance", "preview")
+
+
 def subject_and_body_hits(hits: DataFrame) -> DataFrame:
     """Merge the top hits of each mail's subject (part 0) and body (part 1): (id, docs).
 

@@ -33,6 +33,15 @@ def render_template(spark, sf_dir):
     return c.select("id", G.render_template(F.col("category"), slots).alias("prompt"))
 
 
+@register("prompt_inputs", with_ctes("mails") + """
+SELECT id, substr(coalesce(body, ''), 1, 500) AS body, substr(coalesce(subject || chr(10) || body, ''), 1, 800) AS reply,
+  substr(coalesce(sender_raw || ' ' || body, ''), 1, 300) AS context FROM mails""")
+def prompt_inputs(spark, sf_dir):
+    """What a prompt takes of each mail as a body, under its subject as a reply, and after its sender as a context."""
+    reply, context = F.concat("subject", F.lit("\n"), "body"), F.concat("sender_raw", F.lit(" "), "body")
+    return mails(spark, sf_dir).select("id", G.prompt_inputs(F.col("body"), reply, context).alias("p")).select("id", "p.*")
+
+
 def _cleanup_sql(src: str) -> str:
     """CTE steps of the cleanup, reading column `reply` of the named CTE."""
     spot = "coalesce(" + ", ".join(

@@ -265,7 +265,7 @@ def with_rewrites(q):
 @register("retrieve_standard", "WITH " + STANDARD_SQL)
 def retrieve_standard(spark, sf_dir):
     q = with_rewrites(asking(spark, sf_dir))
-    found = F_.standard_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2)
+    found = F_.retrieve(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2)
     return rounded(found)
 
 
@@ -299,7 +299,14 @@ VARIED = replace(DEFAULTS, use_variants=True, use_decomposition=True)
 @register("retrieve_advanced", "WITH " + ADVANCED_SQL)
 def retrieve_advanced(spark, sf_dir):
     q = with_variants(asking(spark, sf_dir))
-    return F_.advanced_retrieval(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2, VARIED)
+    return F_.retrieve(q, documents(spark, sf_dir), stored_vectors(spark, sf_dir), content_index(spark, sf_dir), 2, VARIED)
+
+
+@register("corpus_probe", f"""WITH {QUERIES_SQL}, {near_cte(2)}
+SELECT qid AS query_id, rank, doc_id, d AS distance, replace(substr(text, 1, 150), chr(10), ' ') AS preview FROM near JOIN documents USING (doc_id)""")
+def corpus_probe(spark, sf_dir):
+    """The two nearest documents of every item, with a preview of each."""
+    return F_.probe(asking(spark, sf_dir), documents(spark, sf_dir), stored_vectors(spark, sf_dir))
 
 
 # ---- the same with vectors of the texts that are searched ---------------------------------
@@ -340,7 +347,7 @@ def texts_asked(spark, sf_dir):
 @register("retrieve_standard_encoded", encoded_sql(STANDARD_SQL))
 def retrieve_standard_encoded(spark, sf_dir):
     """An accepted rewrite is searched by its own vector, among vectors of the documents from the same encoder."""
-    return rounded(F_.standard_retrieval(
+    return rounded(F_.retrieve(
         with_rewrites(texts_asked(spark, sf_dir)), documents(spark, sf_dir), encoded_documents(spark, sf_dir),
         content_index(spark, sf_dir), 2, encoder=encoder))
 
@@ -348,7 +355,7 @@ def retrieve_standard_encoded(spark, sf_dir):
 @register("retrieve_advanced_encoded", encoded_sql(ADVANCED_SQL))
 def retrieve_advanced_encoded(spark, sf_dir):
     """Every part and variant of a query is searched by its own vector."""
-    return F_.advanced_retrieval(
+    return F_.retrieve(
         with_variants(texts_asked(spark, sf_dir)), documents(spark, sf_dir), encoded_documents(spark, sf_dir),
         content_index(spark, sf_dir), 2, VARIED, encoder)
 

@@ -17,6 +17,10 @@ class Settings:
     # chunking
     chunk_size: int = 1000
     chunk_overlap: int = 200
+    # characters of a text that are put into a prompt
+    prompt_body_chars: int = 500
+    prompt_reply_chars: int = 800
+    prompt_context_chars: int = 300
     # retrieval
     top_k: int = 4
     alpha: float = 0.7

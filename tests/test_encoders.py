@@ -37,5 +37,16 @@ def test_a_rewrite_is_searched_by_its_own_vector(spark):
     found = RT.standard_retrieval(asked, docs, stored, None, 1, settings, encoder)
     assert {r.query_id: r.doc_id for r in found.collect()} == {1: 1, 2: 2}  # nothing is near a query without words
     varied = asked.selectExpr("query_id", "text", "CAST(NULL AS STRING) AS parts", "rewrite AS variants").where("query_id = 1")
-    both = RT.advanced_retrieval(varied, docs, stored, RT.text_index(docs), 2, Settings(use_rerank=False), encoder)
+    # the mode follows the settings
+    both = RT.retrieve(varied, docs, stored, RT.text_index(docs), 2, Settings(use_rerank=False, use_variants=True), encoder)
     assert {r.doc_id for r in both.collect()} == {1, 2}
+    one = RT.retrieve(varied, docs, stored, None, 1, Settings(use_rerank=False), encoder)
+    assert {r.doc_id for r in one.collect()} == {2}
+
+
+def test_probe_shows_the_first_characters_in_one_line(spark):
+    docs = spark.createDataFrame([(1, "first\nline " + "x" * 200), (2, "far away")], "doc_id long, text string")
+    stored = V.build(hashed_vectors(docs, "doc_id"))
+    asked = hashed_vectors(docs.where("doc_id = 1").withColumnRenamed("doc_id", "query_id"), "query_id")
+    got = RT.probe(asked, docs, stored, 1).collect()
+    assert [(r.doc_id, r.preview) for r in got] == [(1, ("first line " + "x" * 200)[:150])]
