@@ -17,7 +17,7 @@ from deskspark.registry.corpus import stats_ctes
 from deskspark.registry.views import CTES, any_contains, mails, mails_of, table
 from deskspark.rules import ESCALATION_TERMS, LADDER_DEFAULT, SLOT_DEFAULTS
 from deskspark.session import shared_dir
-from deskspark.sources.mail import stream_parquet
+from deskspark.sources.mail import stream_table
 from deskspark.streaming import flow_stream as MS
 from deskspark.streaming import ledger as L
 
@@ -98,7 +98,7 @@ def stream_flow(spark, sf_dir):
     """The mail job over a stream of documents, drained once; its committed results are those of the batch job."""
     accounts, known = sides(spark, sf_dir)
     schema = table(spark, sf_dir, "documents").schema
-    stream = addressed(mails_of(stream_parquet(spark, sf_dir, schema, "documents.parquet")))
+    stream = addressed(mails_of(stream_table(spark, f"{sf_dir}/documents.parquet", schema)))
     root = shared_dir(spark)
     work = MS.flow_batch(accounts, known, AS_OF, ladder=FITTED, account_terms=ACCOUNT_WORDS)
     L.drain(stream, L.once_per_batch(root, work), f"{root}/checkpoint")

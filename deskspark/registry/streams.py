@@ -8,7 +8,7 @@ from deskspark import schemas
 from deskspark.registry import ORACLES, register
 from deskspark.registry import accounts as _accounts  # noqa: F401  the batch form of the lookup is there
 from deskspark.session import shared_dir
-from deskspark.sources.mail import stream_parquet
+from deskspark.sources.mail import stream_table
 from deskspark.streaming import keyed_state as K
 from deskspark.streaming import mail_stream as S
 
@@ -21,7 +21,7 @@ def events(spark, sf_dir):
     status = (
         F.when(kind.isin("purchase", "signup"), F.lit("completed_approved")).when(kind == "click", F.lit("requires_manual_review"))
         .when(kind == "view", F.lit("completed_skipped")).otherwise(F.lit("error")))
-    return stream_parquet(spark, sf_dir, schemas.EVENTS, "events.parquet").withColumn("status", status)
+    return stream_table(spark, f"{sf_dir}/events.parquet", schemas.EVENTS).withColumn("status", status)
 
 
 @register("stream_drain", f"SELECT event_id, user_id, {STATUS_SQL} AS status, value FROM events")
@@ -51,7 +51,7 @@ def stream_dedup(spark, sf_dir):
 @register("stream_snapshots", ORACLES["snapshot_ttl"])
 def stream_snapshots(spark, sf_dir):
     """The snapshot lookup with views as entries of the state and all other events as questions."""
-    e = stream_parquet(spark, sf_dir, schemas.EVENTS, "events.parquet")
+    e = stream_table(spark, f"{sf_dir}/events.parquet", schemas.EVENTS)
     view, own = F.col("event_type") == "view", F.col("event_id").cast("string")
     rows = e.select(F.col("user_id").cast("string").alias("key"), "ts", F.when(~view, own).alias("id"), F.when(view, own).alias("value"))
     root = shared_dir(spark)

@@ -80,3 +80,11 @@ def stream_parquet(
     if files_per_poll:
         reader = reader.option("maxFilesPerTrigger", files_per_poll)
     return reader.parquet(folder)
+
+
+def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table as a stream, be it one file or a folder of files.
+
+    Spark takes only a folder or a pattern as a stream's place, so the path is given as a pattern of itself.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
