@@ -248,3 +248,41 @@ def test_scores_of_another_corpus(spark, asked):
 def test_missing_index(spark, tmp_path):
     with pytest.raises(AnalysisException):
         P.load(spark, str(tmp_path / "none"))
+
+
+def test_repeated_ids_are_one_document(spark, asked):
+    """Rows that share an id add up, wherever they lie."""
+    docs = library(60, 11)
+    df = spark.createDataFrame([*docs, *docs[:20], docs[3]], "doc_id long, text string")
+    index = P.create(df.repartition(5))
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    rows = index.forward.collect()
+    for name, k in (("few", 5), ("all", 300)):
+        want = {}
+        for q, t in QUERIES:
+            scores = Counter()
+            for r in rows:
+                tf = dict(zip(r.words, r.tfs))
+                scores[r.doc_id] += sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * r.dl / index.avgdl)) for w in t.lower().split() if w in tf)
+            if b := best(scores, k):
+                want[q] = b
+        assert found(P.search(asked, index, k)) == want, name
+
+
+def test_packs_and_slices_change_nothing(spark, asked, monkeypatch):
+    docs = library(90, 12)
+    index = P.create(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    want = {q: b for q, t in QUERIES if (b := best(okapi(docs, t), 6))}
+    for pack, cells, step in ((3, 20, 5), (1 << 18, 1, 1)):
+        for name, value in (("PACK", pack), ("CELLS", cells), ("STEP", step)):
+            monkeypatch.setattr(P, name, value)
+        assert found(P.search(asked, index, 6)) == want
+
+
+def test_scores_are_not_shuffled(spark, monkeypatch):
+    """A task gives its k best of a query, however many documents hold its terms."""
+    docs = spark.range(0, 3000, 1, 3).selectExpr("id AS doc_id", "concat('the of r', id % 7) AS text")
+    index = P.create(docs)
+    q = spark.range(20).selectExpr("id AS query_id", "'the of r1' AS text")
+    asked = P.materialise(P.query_weights(q, index.terms), "asked")
+    assert P._scored_whole(asked, index, 2).count() <= 20 * 2 * index.forward.rdd.getNumPartitions()
