@@ -99,3 +99,23 @@ def test_dedup_content(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "x"), ("a", 3, "y"), ("b", 9, "x")], "k string, pos int, t string")
     got = sorted(tuple(r) for r in I.dedup_content(df, ["k"], "t", "pos").collect())
     assert got == [("a", 1, "x"), ("a", 3, "y"), ("b", 9, "x")]
+
+
+def test_unlike_sets_are_dropped_before_they_are_shuffled(spark, monkeypatch):
+    """Sets that share their rarest word and little else make no pairs."""
+    made, write = {}, similarity.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", counted)
+    rnd = random.Random(5)
+    sets = [sorted({"a", *(f"{side}{rnd.randrange(400)}" for _ in range(30))}) for side in "pq" for _ in range(60)]
+    rows = [("x", w, i) for i, w in enumerate(sets)]
+    e = spark.createDataFrame([*rows, ("x", sorted(f"w{i}" for i in range(20)), 500)], "category string, words array<string>, i int")
+    q = spark.createDataFrame([("x", sorted({*w, "extra"})) for w in sets[:20]], "category string, words array<string>")
+    found = similarity.first_similar(q, e.withColumn("ord", F.struct("i")), 0.8)
+    assert sorted(r.ord.i for r in found.collect()) == list(range(20))
+    assert made["pairs"] < 60
