@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,8 @@ from pyspark.sql import Window as W
 
 from deskspark import rules as R
 from deskspark.functions import text as X
-from deskspark.functions.isolation import isolated
+from deskspark.functions.batches import parts
+from deskspark.functions.isolation import bisected
 from deskspark.settings import DEFAULTS, Settings
 
 UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
@@ -170,12 +173,18 @@ def split_or_fall_back(docs: DataFrame, splitter: Callable[[str], list[str]], co
     A document on which the splitter fails is cut by size as a whole, as one section, and carries the error; others are not touched by it.
     """
     rest = [c for c in docs.columns if c != column]
-    cut = isolated(lambda texts: [splitter(t) for t in texts], "array<string>")
-    parts = docs.withColumn("_s", cut(F.col(column))).withColumns({
-        "error_message": F.col("_s.error"),
-        "_all": F.when(F.col("_s.error").isNull(), F.col("_s.value")).otherwise(F.array(column)),
-    })
-    sections = parts.select(*rest, "error_message", F.posexplode("_all").alias("section", column)).where(F.col(column) != "")
+    docs = docs.select(*rest, column)
+    shape = T.StructType([*docs.schema.fields[:-1], T.StructField("error_message", T.StringType()),
+                          T.StructField("section", T.IntegerType()), T.StructField(column, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, -1):
+            texts = batch.column(-1).to_pylist()
+            values, errors = bisected(lambda some: [splitter(t) for t in some], [texts])
+            cut = [([] if v is None else list(v)) if e is None else [t] for v, e, t in zip(values, errors, texts)]
+            yield _exploded(batch, cut, shape.names, [pa.array(errors, pa.string())])
+
+    sections = docs.mapInArrow(run, shape).where(F.col(column) != "")
     return split_long(sections, column, settings)
 
 
@@ -184,9 +193,24 @@ def split_long(sections: DataFrame, column: str = "content", settings: Settings
     rest = [c for c in sections.columns if c != column]
     size = F.length(column)
     short = sections.filter(size <= settings.chunk_size).select(*rest, F.lit(0).alias("piece"), column)
-    long = sections.filter(size > settings.chunk_size)
-    pieces = F.posexplode(size_splitter(settings)(F.col(column))).alias("piece", column)
-    return short.unionByName(long.select(*rest, pieces))
+    long = sections.filter(size > settings.chunk_size).select(*rest, column)
+    shape = T.StructType([*long.schema.fields[:-1], T.StructField("piece", T.IntegerType()), T.StructField(column, T.StringType())])
+    limit, overlap = settings.chunk_size, settings.chunk_overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, -1):
+            yield _exploded(batch, [pieces(t, limit, overlap, SEPARATORS) for t in batch.column(-1).to_pylist()], shape.names)
+
+    return short.unionByName(long.mapInArrow(run, shape))
+
+
+def _exploded(batch: pa.RecordBatch, lists: list[list[str]], names: list[str], more: Sequence[pa.Array] = ()) -> pa.RecordBatch:
+    """A row for each string of each row's list: all columns but the last, those of `more`, its place in the list, the string."""
+    sizes = [len(x) for x in lists]
+    at = pa.array(np.repeat(np.arange(len(lists)), sizes))
+    place = pa.array([i for n in sizes for i in range(n)], pa.int32())
+    flat = pa.array([x for some in lists for x in some], batch.schema.types[-1])
+    return pa.RecordBatch.from_arrays([*[c.take(at) for c in [*batch.columns[:-1], *more]], place, flat], names)
 
 
 def chunk_category(content: Column, source: Column, rules: Sequence[R.ChunkRule] = R.CHUNK_RULES) -> Column:

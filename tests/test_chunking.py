@@ -96,3 +96,17 @@ def test_categories(spark):
     docs = spark.createDataFrame([("#### Problem: x",), ("How to x",), ("the request",), ("FAQ",), ("zzz",)], "content string")
     got = [r[0] for r in docs.select(E.doc_type(F.col("content"))).collect()]
     assert got == ["troubleshooting", "guide", "api_reference", "faq", "documentation"]
+
+
+def test_python_sees_small_parts_of_a_batch():
+    """However many texts come in one batch, a splitter's pieces are held for a part of them alone."""
+    import pyarrow as pa
+
+    from deskspark.functions import batches
+
+    texts = [None, "", "x" * (3 << 20), *["y" * 5000] * 1000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = list(batches.parts(iter([batch.slice(1), batch.slice(0, 0)]), -1))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert all(b.num_rows == 1 or sum(len(t) for t in b.column(1).to_pylist()) <= batches.PART_BYTES for b in got)
+    assert len(got) > 5
