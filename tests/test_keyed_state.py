@@ -82,3 +82,17 @@ def test_store_setting_is_restored(spark):
     with K.rocks_state(spark):
         assert spark.conf.get(K.STORE) == K.ROCKS
     assert spark.conf.get(K.STORE, None) == before
+
+
+def test_many_keys_share_a_call(job, monkeypatch):
+    """Groups of the state are bounded by shards, not by keys, and keys of a shard do not mix."""
+    monkeypatch.setattr(K, "SHARDS", 2)
+    rows = [(k and f"{k}{i % 4}", at, q, v) for i, (k, at, q, v) in enumerate(make(400, 3))]
+    got = job(rows)
+    assert got == plain(rows) and len(got) > 5
+
+
+def test_state_is_grouped_by_shard(spark):
+    plan = K.as_of(spark.readStream.format("rate").load().selectExpr(
+        "string(value) AS key", "timestamp AS ts", "string(NULL) AS id", "'v' AS value"), LIFE)._jdf.queryExecution().logical().toString()
+    assert "TransformWithStateInPySpark" in plan and "shard" in plan
