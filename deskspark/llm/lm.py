@@ -1,8 +1,9 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts. Tokens are the words of a text, A-Z lower-cased, then one end mark. Every task counts hashed tokens
-and pairs of neighbours in numpy, adds up what it has seen until FLUSH distinct keys, and hands on (key, count);
-Spark sums them over the whole training part, so what is gathered grows with the input.
+and pairs of neighbours in numpy, adds up what it has seen until FLUSH distinct keys, and hands on sorted keys and counts,
+one row for each shard of the keys; Spark brings a shard together over the whole training part, so what is gathered grows
+with the input. There are as many shards as SHARD bytes in the texts, so one takes the same memory at every size.
 
 Model. A pair is held if its count is at least floor_, the smallest power of two for which the filter has HELD
 entries at most; the histogram of the counts' magnitudes, 64 numbers, tells. A count is quantised on a logarithmic scale,
@@ -12,12 +13,12 @@ BITS = 8 * HELD bits. A query probes level 1, 2, ... until the first
 miss; a false hit overstates a count by one level with a probability of about 2 %. The filter is blocked: all
 probes of a key fall into one of SEGMENTS segments, each built by one task and sent to the driver as one row.
 
-Pairs below the floor keep their exact counts in a table; a probe without a hit is joined with it by a shuffle. With
+Pairs below the floor keep their exact counts in the shards; a probe without a hit is looked up there by a shuffle. With
 a floor of 1 there are none, and a miss is a count of 0.
 
 Words have exact counts. Those seen at least `least` times, the smallest power of two that WORDS of them at most reach, are
-broadcast as sorted arrays; the others are joined with their counts by a shuffle, both as words and as the
-word before, after the text's equal entries were added up. With a `least` of 1 there are no others.
+broadcast as sorted arrays; the others are looked up in their shards, once for a chunk of texts. With a `least`
+of 1 there are no others.
 
 Score. P(w | v) = (1 - L) * P(w) + L * c(v w) / c(v) with P(w) = (c(w) + 1) / (N + V + 1), where c(v w) is the
 pair's dequantised count, or its exact one below the floor; L is the weight of the pair model. A text's first word and
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +46,13 @@ from deskspark.session import materialise
 HELD = 1 << 24
 SEGMENTS = 256
 PROBES = 5
+#: Keys probed at a time.
+PROBED = 1 << 17
 WORDS = 1 << 20
 FLUSH = 1 << 21
-#: Words remembered by hash in a task.
-CACHE = 300_000
+#: Bytes of text a shard of the counts, and a chunk of texts that are looked up together.
+SHARD = CHUNK = 1 << 23
+LEAST_SHARDS = 16
 PAIR_WEIGHT = 0.4
 END = b"\x00"
 MOD, LEFT_OUT = 7, 2
@@ -58,31 +63,34 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text.encode().lower().split() if text else ()), END]
 
 
-class Hasher:
-    """64-bit hashes of tokens, remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, hashed = self.known, xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = hashed(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     h = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + np.uint64(0x632BE59BD9B4E019) + (left << np.uint64(7)))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-def _hashed(batch: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes of all texts end to end, tokens of each text)."""
-    split = [tokens(x) for x in batch]
-    return hasher([w for x in split for w in x]), np.array([len(x) for x in split], np.int64)
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different tokens, place there of each token of all texts end to end, tokens of each text)."""
+    # as tokens(): A-Z only are lowered, and white space is \x20 and \x09-\x0D; a text's ends may give empty words
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    full = pc.not_equal(words, "")
+    text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[full.to_numpy(zero_copy_only=False)]
+    sizes = np.bincount(text_of, minlength=len(texts)) + 1
+    coded = words.filter(full).dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_pylist()
+    different = [*different, END]  # a word like the end mark has its hash
+    last = np.zeros(int(sizes.sum()), bool)
+    last[np.cumsum(sizes) - 1] = True
+    place = np.full(len(last), len(different) - 1)
+    place[~last] = coded.indices.to_numpy()
+    return np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different)), place, sizes
+
+
+def _different(keys: np.ndarray) -> np.ndarray:
+    """Sorted different keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
 
 
 def _inner(counts: np.ndarray) -> np.ndarray:
@@ -121,24 +129,64 @@ class _Sums:
         return out
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 1 tokens, 2 pairs of neighbours, over all rows of (text)."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 byte place by byte place, in as many places as the largest needs, after the number of places."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, :data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T
+    return out.view("<u8").reshape(-1)
+
+
+def _least_key(shard: int, shards: int) -> np.uint64:
+    return np.uint64(shard << (65 - shards.bit_length()))
+
+
+def dealt(keys: np.ndarray, shards: int) -> list[tuple[int, slice, bytes]]:
+    """(shard, its part, its keys packed) of sorted keys; a shard has one value of the top bits, and gaps are packed."""
+    of = keys >> np.uint64(65 - shards.bit_length())
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        shard = int(of[a])
+        out.append((shard, slice(a, b), packed(np.diff(keys[a:b], prepend=_least_key(shard, shards)))))
+    return out
+
+
+def keys_of(data: bytes, shard: int, shards: int) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64) + _least_key(shard, shards)
+
+
+def shards_of(texts: DataFrame) -> int:
+    """A power of two that grows with the bytes of (text)."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST_SHARDS, 1 << (size // SHARD).bit_length())
+
+
+def counts(texts: DataFrame, shards: int) -> DataFrame:
+    """(kind, shard, keys, n, total, sizes): kind 1 tokens, 2 pairs of neighbours, over all rows of (text).
+
+    One row a shard: keys and counts are packed, total is the sum of the counts, sizes their number by magnitude.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sums = Hasher(), (_Sums(), _Sums())
+        sums = (_Sums(), _Sums())
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for kind, s in enumerate(sums, 1):
                 keys, n = s.take()
-                for i in range(0, len(keys), 100_000):
-                    part = keys[i:i + 100_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)),
-                        pa.array(n[i:i + 100_000])], ["kind", "key", "n"])
+                parts = dealt(keys, shards)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(parts), kind, np.int8)), pa.array([x[0] for x in parts], pa.int32()),
+                    pa.array([x[2] for x in parts], pa.binary()), pa.array([packed(n[x[1]]) for x in parts], pa.binary())],
+                    ["kind", "shard", "keys", "n"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                h, sizes = _hashed(batch.column(0).slice(i, 256).to_pylist(), hasher)
-                inner = _inner(sizes)
+                words, place, sizes = _hashed(batch.column(0).slice(i, 256))
+                h, inner = words[place], _inner(sizes)
                 sums[0].add(h)
                 sums[1].add(pair_keys(h[:-1], h[1:])[inner[1:]])
                 if sums[1].size > FLUSH * 3 // 4:
@@ -147,7 +195,34 @@ def counts(texts: DataFrame) -> DataFrame:
                     yield from flushed()
         yield from flushed()
 
-    return texts.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def added(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys = np.concatenate([keys_of(x, shard, shards) for x in table.column("keys").to_pylist()])
+        n = np.concatenate([unpacked(x) for x in table.column("n").to_pylist()]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, n = keys[first], np.add.reduceat(n, first)
+        return pa.table({
+            "kind": table.column("kind")[:1], "shard": table.column("shard")[:1],
+            "keys": pa.array([dealt(keys, shards)[0][2]], pa.binary()), "n": pa.array([packed(n)], pa.binary()),
+            "total": pa.array([int(n.sum())]),
+            "sizes": pa.array([np.bincount(np.frexp(n.astype(float))[1] - 1).tolist()], pa.list_(pa.int64()))})
+
+    return texts.mapInArrow(run, "kind byte, shard int, keys binary, n binary").groupBy("kind", "shard") \
+        .applyInArrow(added, "kind byte, shard int, keys binary, n binary, total long, sizes array<long>")
+
+
+def listed(counted: DataFrame, least: int, shards: int) -> DataFrame:
+    """(key, n) of the packed counts of `least` at least."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data, some in zip(*(c.to_pylist() for c in batch.columns)):
+                n = unpacked(some).astype(np.int64)
+                keys = keys_of(data, shard, shards)[n >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n[n >= least])], ["key", "n"])
+
+    return counted.select("shard", "keys", "n").mapInArrow(run, "key long, n long")
 
 
 def _level_keys(keys: np.ndarray, level: int) -> np.ndarray:
@@ -197,9 +272,14 @@ class Model:
     tokens: int
     distinct: int
     least: int = 1
+    shards: int = LEAST_SHARDS
 
-    def pair_levels(self, keys: np.ndarray) -> np.ndarray:
-        """Probe levels upward until the first miss."""
+    def pair_levels(self, keys: np.ndarray, most: int = 64) -> np.ndarray:
+        """Probe levels upward until the first miss, for few keys at a time."""
+        parts = [self._levels(keys[i:i + PROBED], most) for i in range(0, len(keys), PROBED)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def _levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         levels = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         base = _segments(keys) * self.segment_bits
@@ -212,7 +292,7 @@ class Model:
             live = live[hit]
             levels[live] = level
             level += 1
-            if level > 64:
+            if level > most:
                 break
         return levels
 
@@ -250,113 +330,152 @@ def smallest(sizes: dict[int, int], cost, most: int) -> int:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = HELD,
         words: int = WORDS) -> tuple[Model, DataFrame, DataFrame]:
-    """(model, rare, few): (key, n) each, the exact counts of the words and of the pairs that are not in the model."""
-    spark = docs.sparkSession
+    """(model, rare, few): the latter are the packed exact counts of the words and of the pairs, for those not in the model."""
     texts = docs.where(trained(F.col(id_col))).select(F.col(text).cast("string").alias("text"))
-    raw = counts(texts)
-    # the tokens of the training part are the sum over kind 1; the pairs' floor needs it, so count first
-    found = materialise(raw, "ngram_counts")
-    total = found.where("kind = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total["n"] or 0), int(total["v"])
-    magnitude = F.length(F.bin("n")) - 1
+    shards = shards_of(texts)
+    found = materialise(counts(texts, shards), "ngram_counts", free=True)
     sizes: dict[int, dict[int, int]] = {1: {}, 2: {}}
-    for row in found.groupBy("kind", magnitude.alias("b")).agg(F.count("*").alias("n")).collect():
+    for row in found.select("kind", F.posexplode("sizes").alias("b", "n")).groupBy("kind", "b").agg(F.sum("n").alias("n")).collect():
         sizes[row["kind"]][row["b"]] = row["n"]
+    n, v = found.where("kind = 1").agg(F.sum("total")).first()[0] or 0, sum(sizes[1].values())
     floor_ = smallest(sizes[2], lambda levels: levels + 1, held)
     least = smallest(sizes[1], lambda levels: 1, words)
-    pairs = found.where((F.col("kind") == 2) & (F.col("n") >= floor_))
+    words_of, pairs_of = found.where("kind = 1"), found.where("kind = 2")
     size = 8 * held // SEGMENTS
     bits = np.zeros((SEGMENTS, size // 8), np.uint8)
-    for row in filter_segments(pairs, floor_, held).toLocalIterator():
+    segments = materialise(filter_segments(listed(pairs_of, floor_, shards), floor_, held), "filter", free=True)
+    for row in segments.toLocalIterator():
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    top = found.where((F.col("kind") == 1) & (F.col("n") >= least)).select("key", "n").toArrow()
+    top = listed(words_of, least, shards).toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(bits.reshape(-1), floor_, size, keys[order], top.column("n").to_numpy()[order], n, v, least)
-    rare = found.where((F.col("kind") == 1) & (F.col("n") < least)).select("key", "n")
-    return model, rare, found.where((F.col("kind") == 2) & (F.col("n") < floor_)).select("key", "n")
+    model = Model(bits.reshape(-1), floor_, size, keys[order], top.column("n").to_numpy()[order], n, v, least, shards)
+    packs = ["kind", "shard", "keys", "n"]
+    return model, words_of.select(*packs), pairs_of.select(*packs)
+
+
+def _numbered(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, int]:
+    """(chunk of each row, bytes so far) of (part, text, ...): a part's rows in turn, CHUNK bytes a chunk."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = at + np.cumsum(sizes)
+    return (batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 32) + (ends - 1) // CHUNK, int(ends[-1])
+
+
+def _scores(m: Model, sizes: np.ndarray, inner: np.ndarray, count: np.ndarray, pair: np.ndarray, pair_weight: float) -> list[np.ndarray]:
+    """[n_tokens, n_known, base_score, score] of texts by the counts of their tokens and of their pairs."""
+    starts = np.cumsum(sizes) - sizes
+    at = np.flatnonzero(inner)
+    p = (count + 1.0) / (m.tokens + m.distinct + 1.0)
+    before, own = count[at - 1], p[at]
+    ratio = np.minimum(1.0, pair / np.maximum(before, 1))
+    mixed = p.copy()
+    mixed[at] = np.where(before > 0, (1 - pair_weight) * own + pair_weight * ratio, own)
+    return [sizes, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(m.log_p(count), starts),
+            np.add.reduceat(np.log10(mixed), starts)]
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col: str = "doc_id", text: str = "text",
           pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
-    The scan gives a text's sums over what the model alone decides and, one entry for each, its other words with the
-    word before and their number of occurrences; those are exploded, joined with the counts of rare words, of rare words
-    before and of few pairs, and added up by row. An entry that needs no such lookup has a key of no word or pair there.
+    If the model holds all words and pairs, one scan scores the texts. Else a scan sends the different words and pairs
+    of each chunk of texts that the model does not hold to their shards, which answer with counts in the order asked; the
+    texts are then brought together with the answers of their chunk. Both read `docs`, so it must give the same rows
+    in the same partitions and order twice, as a stored table does; other rows than were asked for are an error.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher = shared.value, Hasher()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    shape = f"id {kind}, n_tokens long, n_known long, base double, score double"
+    names = ["id", "n_tokens", "n_known", "base", "score"]
+    shards = model.shards
+
+    def unheld(words: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Keys of the words and of the pairs to be looked up, sorted."""
+        m, none, h = shared.value, np.zeros(0, np.uint64), words[place]
+        pairs = pair_keys(h[:-1], h[1:])[_inner(sizes)[1:]] if m.floor_ > 1 else none
+        return [_different(words[m.frequent(words) == 0]) if m.least > 1 else none, _different(pairs[m.pair_levels(pairs, 1) == 0])]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                h, sizes = _hashed(batch.column(1).to_pylist(), hasher)
-                count, inner = m.frequent(h), _inner(sizes)
-                starts = np.cumsum(sizes) - sizes
-                known = count > 0
-                sure = known | (m.least == 1)  # else the count may be one of the rare words
-                base = np.where(sure, m.log_p(count), 0.0)
-                # counts of the word before (-1: there is none, 0: not in the model) and of the pair (-1: to be looked up)
-                at = np.flatnonzero(inner)
-                before, pair, key = np.full(len(h), -1), np.zeros(len(h)), pair_keys(h, h)
-                before[at], key[at] = count[at - 1], pair_keys(h[at - 1], h[at])
-                held = m.pair_counts(key[at])
-                pair[at] = held if m.floor_ == 1 else np.where(held > 0, held, -1.0)
-                done = sure & ((before != 0) | (m.least == 1)) & (pair >= 0)
-                p = (count + 1.0) / (m.tokens + m.distinct + 1.0)
-                ratio = np.minimum(1.0, pair / np.maximum(before, 1))
-                full = np.log10(np.where(before > 0, (1 - pair_weight) * p + pair_weight * ratio, p))
-                model_score = np.where(done, full, 0.0)
-                text_of = np.repeat(np.arange(len(sizes)), sizes)
-                rest = np.flatnonzero(~done)
-                none = _level_keys(key, 1 << 20)
-                table = np.empty(len(rest), [("t", np.int64), ("w", np.uint64), ("wn", np.int64), ("v", np.uint64),
-                                             ("vn", np.int64), ("p", np.uint64), ("pn", np.float64)])
-                table["t"], table["wn"], table["vn"], table["pn"] = text_of[rest], count[rest], before[rest], pair[rest]
-                table["w"] = np.where(sure, none, h)[rest]
-                table["v"] = np.where(before == 0, np.concatenate((h[:1], h[:-1])), none)[rest]
-                table["p"] = np.where(pair < 0, key, none)[rest]
-                entry, times = np.unique(table, return_counts=True)
-                per_text = np.bincount(entry["t"], minlength=len(sizes))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(per_text))).astype(np.int32))
-                columns = [np.ascontiguousarray(entry[c]) for c in ("w", "wn", "v", "vn", "p", "pn")]
-                columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (*columns, times.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model_score, starts)), *lists,
-                ], ["id", "n_tokens", "n_known", "base", "model", *parts])
+                words, place, sizes = _hashed(batch.column(1))
+                h, inner = words[place], _inner(sizes)
+                found = _scores(m, sizes, inner, m.frequent(words)[place], m.pair_counts(pair_keys(h[:-1], h[1:])[inner[1:]]), pair_weight)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names)
 
-    parts = ["w", "wn", "v", "vn", "p", "pn", "times"]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    scanned = rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, model double, w array<long>, "
-                                   "wn array<long>, v array<long>, vn array<long>, p array<long>, pn array<double>, times array<long>")
-    scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    met = scanned.select("row", F.explode(F.arrays_zip(*parts)).alias("e")).select("row", "e.*")
-    for key, counted in (("w", rare), ("v", rare), ("p", few)):
-        if (model.floor_ if key == "p" else model.least) > 1:
-            met = met.join(counted.select(F.col("key").alias(key), F.col("n").alias(f"{key}_n")), key, "left")
-        else:
-            met = met.withColumn(f"{key}_n", F.lit(0))
-    word = F.when(F.col("wn") > 0, F.col("wn")).otherwise(F.coalesce("w_n", F.lit(0)))
-    before = F.when(F.col("vn") == 0, F.coalesce("v_n", F.lit(0))).otherwise(F.col("vn"))
-    pair = F.when(F.col("pn") < 0, F.coalesce("p_n", F.lit(0))).otherwise(F.col("pn"))
-    met = met.select("row", "times", ((F.col("wn") == 0) & F.lit(model.least > 1)).alias("open"), word.alias("n"), before.alias("before"), pair.alias("pair"))
-    p = (F.col("n") + 1.0) / float(model.tokens + model.distinct + 1)
-    ratio = F.least(F.lit(1.0), F.col("pair") / F.greatest("before", F.lit(1)))
-    mixed = F.when(F.col("before") > 0, F.lit(1 - pair_weight) * p + F.lit(pair_weight) * ratio).otherwise(p)
-    sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("open") & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(F.col("open"), F.col("times") * F.log10(p)).otherwise(0.0)).alias("more_base"),
-        F.sum(F.col("times") * F.log10(mixed)).alias("more"))
-    out = scanned.drop(*parts).join(sums, "row", "left")
-    zero = F.lit(0.0)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            if batch.num_rows:
+                chunk, at = _numbered(batch, at)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(chunk)], ["id", "text", "chunk"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, parts = 0, None, []
+
+        def asked() -> pa.RecordBatch:
+            out = [(now, k, s, data) for k, keys in enumerate(unheld(*_hashed(pa.concat_arrays(parts))), 1) for s, _, data in dealt(keys, shards)]
+            types = [pa.int64(), pa.int8(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["chunk", "kind", "shard", "keys"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk, at = _numbered(batch, at)
+            first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))).tolist()
+            for a, b in zip(first, [*first[1:], len(chunk)]):
+                if parts and chunk[a] != now:
+                    yield asked()
+                    parts = []
+                now = int(chunk[a])
+                parts.append(batch.column("text").slice(a, b - a))
+        if parts:
+            yield asked()
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        keys, n, out = np.zeros(1, np.uint64), np.zeros(1, np.uint64), []
+        for shard, data, some in zip(*(counted.column(c).to_pylist() for c in ("shard", "keys", "n"))):
+            keys, n = keys_of(data, shard, shards), unpacked(some)
+        for chunk, k, shard, data in zip(*(asked.column(c).to_pylist() for c in ("chunk", "kind", "shard", "keys"))):
+            want = keys_of(data, shard, shards)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            out.append((chunk, k, shard, packed(np.where(keys[at] == want, n[at], 0)), int(want.sum(dtype=np.uint64).view(np.int64))))
+        types = [pa.int64(), pa.int8(), pa.int32(), pa.binary(), pa.int64()]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["chunk", "kind", "shard", "n", "sum"])
+
+    def judge(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        m = shared.value
+        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "n", "sum"))))
+        if not texts.num_rows:
+            raise RuntimeError("the texts came in other partitions when read again; store them first")
+        words, place, sizes = _hashed(pa.concat_arrays(texts.column("text").chunks))
+        h, inner = words[place], _inner(sizes)
+        pairs = pair_keys(h[:-1], h[1:])[inner[1:]]
+        count, pair = m.frequent(words)[place], m.pair_counts(pairs)
+        for k, keys, known, bound in ((1, h, count, m.least), (2, pairs, pair, m.floor_)):
+            if bound > 1:
+                open_ = np.flatnonzero(known == 0)
+                want, which = np.unique(keys[open_], return_inverse=True)
+                n = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x[2]) for x in got if x[0] == k)])
+                seen = np.array([x[3] for x in got if x[0] == k], np.int64).view(np.uint64).sum(dtype=np.uint64)
+                if len(n) != len(want) or seen != want.sum(dtype=np.uint64):
+                    raise RuntimeError("the texts came in another order when read again; store them first")
+                known[open_] = n[which]
+        found = _scores(m, sizes, inner, count, pair, pair_weight)
+        return pa.table([texts.column("id"), *map(pa.array, found)], names=names)
+
+    if model.floor_ == 1 and model.least == 1:
+        out = rows.mapInArrow(scan, shape)
+    else:
+        placed = rows.withColumn("part", F.spark_partition_id())
+        asked = placed.mapInArrow(ask, "chunk long, kind byte, shard int, keys binary")
+        counted = rare.unionByName(few).groupBy("kind", "shard")
+        answers = asked.groupBy("kind", "shard").cogroup(counted).applyInArrow(answer, "chunk long, kind byte, shard int, n binary, sum long")
+        answers = materialise(answers, "answers", free=True)
+        numbered = placed.mapInArrow(number, f"id {kind}, text string, chunk long")
+        out = numbered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, shape)
     return out.select(
-        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("model") + F.coalesce("more", zero)).alias("score"))
+        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -295,6 +295,46 @@ def test_lm_score_has_all_pairs(docs, rows, held, words):
         assert r.score == pytest.approx(sum(math.log10(p(x, b)) for x, b in zip(w, [None, *w])))
 
 
+def test_lm_lookups_ask_each_key_once_a_chunk(spark, monkeypatch):
+    """Words and pairs outside the model go to their shards packed and once for a chunk of texts, not once for each text."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(str(rng.randrange(300)) for _ in range(60))) for i in range(60)] + [(None, "1 2 \x0b 3"), (5, "1 2"), (77, None), (78, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = sorted(map(str, lm.score(docs, *lm.fit(docs)).collect()))
+    for chunk in (lm.CHUNK, 2000):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        model, rare, few = lm.fit(docs, held=1 << 10, words=20)
+        assert model.floor_ > 1 and model.least > 1
+        out = lm.score(docs, model, rare, few)
+        assert "Join" not in out._jdf.queryExecution().toString() and "explode" not in out._jdf.queryExecution().toString()
+        got = out.collect()
+        assert len(got) == len(rows)
+        for a, b in zip(sorted(map(str, got)), want):
+            assert a.split(", base")[0] == b.split(", base")[0]
+    answers = rare.unionByName(few)
+    assert answers.columns == ["kind", "shard", "keys", "n"] and answers.count() <= 2 * model.shards
+
+
+def test_lm_packed_keys():
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.concatenate((rng.integers(0, 2 ** 64, 5000, dtype=np.uint64), np.array([0, 2 ** 64 - 1], np.uint64))))
+    for shards in (2, 64):
+        parts = lm.dealt(keys, shards)
+        assert np.concatenate([lm.keys_of(data, s, shards) for s, _, data in parts]).tolist() == keys.tolist()
+        assert sum(len(data) for *_, data in parts) < 7.5 * len(keys) and all((keys[x] >> np.uint64(65 - shards.bit_length()) == s).all() for s, x, _ in parts)
+    assert lm.dealt(keys[:0], 4) == [] and lm.unpacked(lm.packed(np.array([0, 300, 7]))).tolist() == [0, 300, 7]
+
+
+def test_lm_hashes_tokens_like_the_plain_split():
+    import pyarrow as pa
+    import xxhash
+
+    texts = [None, "", " \x0b a\x1c\x85B\tÀ\x00 \x00 Zz\r\n", "  x  y", "İK\u00a0  k"]
+    words, place, sizes = lm._hashed(pa.array(texts))
+    assert words[place].tolist() == [xxhash.xxh64_intdigest(w) for x in texts for w in lm.tokens(x)]
+    assert sizes.tolist() == [len(lm.tokens(x)) for x in texts]
+
+
 def test_lm_filter_holds_levels(spark):
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2 ** 63, 3000, dtype=np.uint64))
