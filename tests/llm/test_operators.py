@@ -434,6 +434,22 @@ def test_levels_merge_like_a_counter():
     assert suffix_dedup.repeated_windows(pieces, batch=150) == whole and any(whole)
 
 
+def test_suffix_shards_compare_only_windows_that_may_repeat(monkeypatch):
+    rng = random.Random(9)
+    groups = [[sentence(rng, 60).encode()[:280] for _ in range(4)] for _ in range(5)]
+    for g in groups[1:4]:
+        g += [g[0][:240] + b"!" * 30, g[1]]
+    groups.append([groups[0][0], b"\x00" * 230])  # repeats in another group, and within one piece
+    pieces = [x for g in groups for x in g]
+    number = np.concatenate([[i] * len(g) for i, g in enumerate(groups)])
+    compared = []
+    plain = suffix_dedup.SuffixArray
+    monkeypatch.setattr(suffix_dedup, "SuffixArray", lambda text, starts, *x: compared.append(len(starts)) or plain(text, starts, *x))
+    got = suffix_dedup.repeated_by_group(number, pieces)
+    assert sum(compared) == sum(map(len, got)) < sum(len(x) - suffix_dedup.SIZE + 1 for x in pieces)
+    assert got == [w for g in groups for w in suffix_dedup.repeated_windows(g)]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
