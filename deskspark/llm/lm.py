@@ -1,7 +1,7 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts. Tokens are the words of a text, A-Z lower-cased, then one end mark. Every task counts hashed tokens
-and pairs of neighbours in numpy, adds up what it has seen until FLUSH distinct keys, and hands on sorted keys and counts,
+and pairs of neighbours in numpy, adds up what it has seen until near FLUSH distinct keys, and hands on sorted keys and counts,
 one row for each shard of the keys; Spark brings a shard together over the whole training part, so what is gathered grows
 with the input. There are as many shards as SHARD bytes in the texts, so one takes the same memory at every size.
 
@@ -11,7 +11,8 @@ level = 1 + log2(count / floor_) rounded down, and the pair is put into the filt
 (Talbot and Osborne). Since 1 + log2(x) <= x, a floor of N / HELD or more always does, at every size, so the filter has
 BITS = 8 * HELD bits. A query probes level 1, 2, ... until the first
 miss; a false hit overstates a count by one level with a probability of about 2 %. The filter is blocked: all
-probes of a key fall into one of SEGMENTS segments, each built by one task and sent to the driver as one row.
+probes of a key fall into one of SEGMENTS segments, each built by one task and sent to the driver as one row. Pairs go to
+their segment packed, one row for each segment and shard.
 
 Pairs below the floor keep their exact counts in the shards; a probe without a hit is looked up there by a shuffle. With
 a floor of 1 there are none, and a miss is a count of 0.
@@ -26,6 +27,9 @@ words after one that was not trained on are scored by P(w). The text's score is
 
 Null and empty texts are one end mark. A null id counts as neither held out nor trained on. Repeated rows are
 trained on and scored as often as they come; rows that share an id are told apart by their text.
+
+Memory. A worker hashes SLICE bytes of text at a time. Of a chunk of texts it holds one hash and count for each different word
+of a slice, and a place and a count for each token; Spark hands it BATCH bytes at a time.
 """
 
 from __future__ import annotations
@@ -49,7 +53,10 @@ PROBES = 5
 #: Keys probed at a time.
 PROBED = 1 << 17
 WORDS = 1 << 20
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Bytes of text hashed together, and of an Arrow batch.
+SLICE = 1 << 20
+BATCH = 1 << 22
 #: Bytes of text a shard of the counts, and a chunk of texts that are looked up together.
 SHARD = CHUNK = 1 << 23
 LEAST_SHARDS = 16
@@ -87,6 +94,24 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different)), place, sizes
 
 
+def _text_bytes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, with one for its end."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first place, places) of runs of the same value."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))).tolist()
+    for a, b in zip(first, [*first[1:], len(values)]):
+        yield a, b - a
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in turn, about SLICE bytes at a time."""
+    for a, n in _runs((np.cumsum(_text_bytes(texts)) - 1) // SLICE):
+        yield texts.slice(a, n)
+
+
 def _different(keys: np.ndarray) -> np.ndarray:
     """Sorted different keys."""
     keys = np.sort(keys)
@@ -174,26 +199,27 @@ def counts(texts: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (_Sums(), _Sums())
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for kind, s in enumerate(sums, 1):
-                keys, n = s.take()
-                parts = dealt(keys, shards)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(parts), kind, np.int8)), pa.array([x[0] for x in parts], pa.int32()),
-                    pa.array([x[2] for x in parts], pa.binary()), pa.array([packed(n[x[1]]) for x in parts], pa.binary())],
-                    ["kind", "shard", "keys", "n"])
+        def flushed(kind: int) -> pa.RecordBatch:
+            keys, n = sums[kind - 1].take()
+            parts = dealt(keys, shards)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(parts), kind, np.int8)), pa.array([x[0] for x in parts], pa.int32()),
+                pa.array([x[2] for x in parts], pa.binary()), pa.array([packed(n[x[1]]) for x in parts], pa.binary())],
+                ["kind", "shard", "keys", "n"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                words, place, sizes = _hashed(batch.column(0).slice(i, 256))
+            for texts in _slices(batch.column(0)):
+                words, place, sizes = _hashed(texts)
                 h, inner = words[place], _inner(sizes)
                 sums[0].add(h)
                 sums[1].add(pair_keys(h[:-1], h[1:])[inner[1:]])
-                if sums[1].size > FLUSH * 3 // 4:
-                    sums[1].compact()
-                if sums[1].size > FLUSH * 3 // 4 or sums[0].size > FLUSH * 3 // 4:
-                    yield from flushed()
-        yield from flushed()
+                for kind, s in enumerate(sums, 1):
+                    if s.size > FLUSH * 3 // 4:
+                        s.compact()
+                    if s.size > FLUSH * 3 // 4:
+                        yield flushed(kind)
+        for kind in (1, 2):
+            yield flushed(kind)
 
     def added(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -237,29 +263,44 @@ def _bits(keys: np.ndarray, level: int, segment_bits: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) % np.uint64(segment_bits)).astype(np.int64) for i in range(PROBES)]
 
 
-def segment_of(key: Column) -> Column:
-    return F.pmod(F.shiftright(key, 5), F.lit(SEGMENTS)).cast("int")
-
-
 def _segments(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(5)) % np.uint64(SEGMENTS)).astype(np.int64)
 
 
-def filter_segments(pairs: DataFrame, floor_: int, held: int = HELD) -> DataFrame:
-    """(segment, bits): the Bloom filter of (key, n); SEGMENTS rows at most, each of 8 * held / SEGMENTS bits."""
+def filter_segments(pairs: DataFrame, floor_: int, held: int = HELD, shards: int | None = None) -> DataFrame:
+    """(segment, bits): the Bloom filter of (key, n); SEGMENTS rows at most, each of 8 * held / SEGMENTS bits.
+
+    With `shards`, pairs are packed counts as of counts().
+    """
     size = 8 * held // SEGMENTS
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shards is None:
+                found = [(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())]
+            else:
+                found = ((keys_of(x, shard, shards), unpacked(n).astype(np.int64)) for shard, x, n in zip(*(c.to_pylist() for c in batch.columns)))
+            for keys, n in found:
+                keys, n = keys[n >= floor_], n[n >= floor_]
+                order = np.argsort(_segments(keys), kind="stable")
+                keys, n = keys[order], n[order]
+                of = _segments(keys)
+                runs = list(_runs(of))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(of[a]) for a, _ in runs], pa.int32()), pa.array([packed(keys[a:a + k]) for a, k in runs], pa.binary()),
+                    pa.array([packed(n[a:a + k]) for a, k in runs], pa.binary())], ["segment", "keys", "n"])
+
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy().view(np.uint64)
-        levels = 1 + np.floor(np.log2(table.column("n").to_numpy() / floor_)).astype(np.int64)
+        keys, n = (np.concatenate([unpacked(x) for x in table.column(c).to_pylist()]) for c in ("keys", "n"))
+        levels = 1 + np.floor(np.log2(n / floor_)).astype(np.int64)
         bits = np.zeros(size, np.uint8)
         for level in range(1, int(levels.max()) + 1):
             for place in _bits(keys[levels >= level], level, size):
                 bits[place] = 1
         return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
-    return pairs.select(segment_of(F.col("key")).alias("segment"), "key", "n") \
-        .groupBy("segment").applyInArrow(run, "segment int, bits binary")
+    return pairs.select(*(("key", "n") if shards is None else ("shard", "keys", "n"))) \
+        .mapInArrow(sent, "segment int, keys binary, n binary").groupBy("segment").applyInArrow(run, "segment int, bits binary")
 
 
 @dataclass
@@ -333,7 +374,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int =
     """(model, rare, few): the latter are the packed exact counts of the words and of the pairs, for those not in the model."""
     texts = docs.where(trained(F.col(id_col))).select(F.col(text).cast("string").alias("text"))
     shards = shards_of(texts)
-    found = materialise(counts(texts, shards), "ngram_counts", free=True)
+    found = materialise(counts(texts, shards), "ngram_counts", free=True, batch=BATCH)
     sizes: dict[int, dict[int, int]] = {1: {}, 2: {}}
     for row in found.select("kind", F.posexplode("sizes").alias("b", "n")).groupBy("kind", "b").agg(F.sum("n").alias("n")).collect():
         sizes[row["kind"]][row["b"]] = row["n"]
@@ -343,7 +384,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int =
     words_of, pairs_of = found.where("kind = 1"), found.where("kind = 2")
     size = 8 * held // SEGMENTS
     bits = np.zeros((SEGMENTS, size // 8), np.uint8)
-    segments = materialise(filter_segments(listed(pairs_of, floor_, shards), floor_, held), "filter", free=True)
+    segments = materialise(filter_segments(pairs_of, floor_, held, shards), "filter", free=True, batch=BATCH)
     for row in segments.toLocalIterator():
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     top = listed(words_of, least, shards).toArrow()
@@ -356,8 +397,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int =
 
 def _numbered(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, int]:
     """(chunk of each row, bytes so far) of (part, text, ...): a part's rows in turn, CHUNK bytes a chunk."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    ends = at + np.cumsum(sizes)
+    ends = at + np.cumsum(_text_bytes(batch.column("text")))
     return (batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 32) + (ends - 1) // CHUNK, int(ends[-1])
 
 
@@ -390,20 +430,16 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
     names = ["id", "n_tokens", "n_known", "base", "score"]
     shards = model.shards
 
-    def unheld(words: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """Keys of the words and of the pairs to be looked up, sorted."""
-        m, none, h = shared.value, np.zeros(0, np.uint64), words[place]
-        pairs = pair_keys(h[:-1], h[1:])[_inner(sizes)[1:]] if m.floor_ > 1 else none
-        return [_different(words[m.frequent(words) == 0]) if m.least > 1 else none, _different(pairs[m.pair_levels(pairs, 1) == 0])]
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                words, place, sizes = _hashed(batch.column(1))
+            found = []
+            for texts in _slices(whole.column(1)):
+                words, place, sizes = _hashed(texts)
                 h, inner = words[place], _inner(sizes)
-                found = _scores(m, sizes, inner, m.frequent(words)[place], m.pair_counts(pair_keys(h[:-1], h[1:])[inner[1:]]), pair_weight)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names)
+                found.append(_scores(m, sizes, inner, m.frequent(words)[place], m.pair_counts(pair_keys(h[:-1], h[1:])[inner[1:]]), pair_weight))
+            if found:
+                yield pa.RecordBatch.from_arrays([whole.column(0), *(pa.array(np.concatenate(x)) for x in zip(*found))], names)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -413,10 +449,15 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(chunk)], ["id", "text", "chunk"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, now, parts = 0, None, []
+        m, none = shared.value, np.zeros(0, np.uint64)
+        at, now, unheld = 0, None, ([none], [none])
 
         def asked() -> pa.RecordBatch:
-            out = [(now, k, s, data) for k, keys in enumerate(unheld(*_hashed(pa.concat_arrays(parts))), 1) for s, _, data in dealt(keys, shards)]
+            out = []
+            for k, found in enumerate(unheld, 1):
+                keys = _different(np.concatenate(found))
+                found[:] = [none]
+                out += [(now, k, s, data) for s, _, data in dealt(keys, shards)]
             types = [pa.int64(), pa.int8(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["chunk", "kind", "shard", "keys"])
 
@@ -424,14 +465,19 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
             if not batch.num_rows:
                 continue
             chunk, at = _numbered(batch, at)
-            first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))).tolist()
-            for a, b in zip(first, [*first[1:], len(chunk)]):
-                if parts and chunk[a] != now:
+            for a, n in _runs(chunk):
+                if now is not None and chunk[a] != now:
                     yield asked()
-                    parts = []
                 now = int(chunk[a])
-                parts.append(batch.column("text").slice(a, b - a))
-        if parts:
+                for texts in _slices(batch.column("text").slice(a, n)):
+                    words, place, sizes = _hashed(texts)
+                    if m.least > 1:
+                        unheld[0].append(words[m.frequent(words) == 0])
+                    if m.floor_ > 1:
+                        h = words[place]
+                        pairs = pair_keys(h[:-1], h[1:])[_inner(sizes)[1:]]
+                        unheld[1].append(pairs[m.pair_levels(pairs, 1) == 0])
+        if now is not None:
             yield asked()
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
@@ -450,21 +496,34 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
         got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "n", "sum"))))
         if not texts.num_rows:
             raise RuntimeError("the texts came in other partitions when read again; store them first")
-        words, place, sizes = _hashed(pa.concat_arrays(texts.column("text").chunks))
-        h, inner = words[place], _inner(sizes)
-        pairs = pair_keys(h[:-1], h[1:])[inner[1:]]
-        count, pair = m.frequent(words)[place], m.pair_counts(pairs)
-        for k, keys, known, bound in ((1, h, count, m.least), (2, pairs, pair, m.floor_)):
-            if bound > 1:
-                open_ = np.flatnonzero(known == 0)
-                want, which = np.unique(keys[open_], return_inverse=True)
-                n = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x[2]) for x in got if x[0] == k)])
-                seen = np.array([x[3] for x in got if x[0] == k], np.int64).view(np.uint64).sum(dtype=np.uint64)
-                if len(n) != len(want) or seen != want.sum(dtype=np.uint64):
-                    raise RuntimeError("the texts came in another order when read again; store them first")
-                known[open_] = n[which]
-        found = _scores(m, sizes, inner, count, pair, pair_weight)
-        return pa.table([texts.column("id"), *map(pa.array, found)], names=names)
+        none, parts, unheld = np.zeros(0, np.uint64), [], ([], [])
+        for x in texts.column("text").chunks:
+            for some in _slices(x):
+                words, place, sizes = _hashed(some)
+                h, known = words[place], m.frequent(words)
+                pairs = pair_keys(h[:-1], h[1:])[_inner(sizes)[1:]]
+                pair = m.pair_counts(pairs)
+                parts.append((words, place.astype(np.int32), sizes, known, pair))
+                unheld[0].append(words[known == 0])
+                unheld[1].append(pairs[pair == 0] if m.floor_ > 1 else none)
+        looked: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, bound in ((1, m.least), (2, m.floor_)):
+            want = _different(np.concatenate(unheld[k - 1])) if bound > 1 else none
+            unheld[k - 1].clear()
+            n = np.concatenate([none, *(unpacked(x[2]) for x in got if x[0] == k)])
+            seen = np.array([x[3] for x in got if x[0] == k], np.int64).view(np.uint64).sum(dtype=np.uint64)
+            if len(n) != len(want) or seen != want.sum(dtype=np.uint64):
+                raise RuntimeError("the texts came in another order when read again; store them first")
+            looked.append((want, n))
+        found = []
+        for words, place, sizes, known, pair in parts:
+            h, inner = words[place], _inner(sizes)
+            for keys, counted, (want, n) in ((words, known, looked[0]), (pair_keys(h[:-1], h[1:])[inner[1:]], pair, looked[1])):
+                if len(want):
+                    open_ = np.flatnonzero(counted == 0)
+                    counted[open_] = n[np.searchsorted(want, keys[open_])]
+            found.append(_scores(m, sizes, inner, known[place], pair, pair_weight))
+        return pa.table([texts.column("id"), *(pa.array(np.concatenate(x)) for x in zip(*found))], names=names)
 
     if model.floor_ == 1 and model.least == 1:
         out = rows.mapInArrow(scan, shape)
@@ -473,9 +532,11 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, few: DataFrame, id_col
         asked = placed.mapInArrow(ask, "chunk long, kind byte, shard int, keys binary")
         counted = rare.unionByName(few).groupBy("kind", "shard")
         answers = asked.groupBy("kind", "shard").cogroup(counted).applyInArrow(answer, "chunk long, kind byte, shard int, n binary, sum long")
-        answers = materialise(answers, "answers", free=True)
+        answers = materialise(answers, "answers", free=True, batch=BATCH)
         numbered = placed.mapInArrow(number, f"id {kind}, text string, chunk long")
         out = numbered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, shape)
+        out = materialise(out, "scores", free=True, batch=BATCH)
+        shared.unpersist()
     return out.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

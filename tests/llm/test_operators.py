@@ -315,6 +315,41 @@ def test_lm_lookups_ask_each_key_once_a_chunk(spark, monkeypatch):
     assert answers.columns == ["kind", "shard", "keys", "n"] and answers.count() <= 2 * model.shards
 
 
+def test_lm_holds_little_of_long_texts(spark):
+    """Texts of a chunk are hashed SLICE bytes at a time, and pairs reach the filter packed; the scores are those of single texts."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    long = [" ".join(f"{rng.randrange(900)}w" for _ in range(30_000)) for _ in range(24)]
+    rows = [(2 * i, t) for i, t in enumerate(long)] + [(None, long[0]), (3, None), (5, ""), (6, "1w 2w"), (6, "1w 2w")]
+    slices = list(lm._slices(pa.array([t for _, t in rows])))
+    assert len(slices) > 2 and [x for s in slices for x in s.to_pylist()] == [t for _, t in rows]
+    assert all(sum(len(x or "") + 1 for x in s.to_pylist()[:-1]) <= lm.SLICE for s in slices)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    model, rare, few = lm.fit(docs, held=1 << 16, words=300)
+    assert model.floor_ > 1 and model.least > 1
+    out = lm.score(docs, model, rare, few)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert "InArrow" not in out._jdf.queryExecution().toString()
+    got = collections.Counter(map(str, out.collect()))
+    one = collections.Counter()
+    for row in (rows[0], rows[7], rows[-5], rows[-4], rows[-1]):
+        alone = spark.createDataFrame([row], "doc_id long, text string").coalesce(1)
+        one.update(map(str, lm.score(alone, model, rare, few).collect()))
+    assert sum(got.values()) == len(rows) and not one - got
+
+
+def test_lm_filter_of_packed_pairs(spark):
+    """Packed counts give the filter of their (key, n) rows."""
+    docs = spark.createDataFrame([(" ".join(str(i * j % 13) for j in range(60)),) for i in range(40)], "text string").coalesce(2)
+    pairs = lm.counts(docs, 16).where("kind = 2")
+    for floor_ in (1, 4):
+        want = lm.filter_segments(lm.listed(pairs, floor_, 16), floor_, 1 << 12)
+        got = lm.filter_segments(pairs, floor_, 1 << 12, 16)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 60
+
+
 def test_lm_packed_keys():
     rng = np.random.default_rng(2)
     keys = np.unique(np.concatenate((rng.integers(0, 2 ** 64, 5000, dtype=np.uint64), np.array([0, 2 ** 64 - 1], np.uint64))))
