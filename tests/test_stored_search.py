@@ -67,6 +67,40 @@ def test_vector_search_prunes(spark, monkeypatch):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_rings_stay_where_they_are(spark, monkeypatch):
+    """Neither rings nor queries are shuffled: a task gives its k best of a query, also of vectors without structure, in packs of any size."""
+    monkeypatch.setattr(V, "BLOCK", 16)
+    rows = [*enumerate(np.random.default_rng(5).normal(size=(600, 8)).tolist())]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    index, q = V.build(v), v.withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(V, "PACK", 250, raising=False)
+    found = V.search(q, index, 3)
+    assert got_near(found) == near(rows, rows, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan and "Join" not in plan
+    asked, packs = V._asked(q, V._cells(index), V._rings(index))
+    assert sum(len(p) for p in packs) == asked.count() and len(packs) >= 3
+    ids, vectors, first = V._held(asked, packs[0], 8)
+    none = np.full(len(ids), np.inf)
+    given = V._stored(index).mapInArrow(V._meet(vectors, none, V._cells(index), 3, None, ids), "query_id long, doc_id long, distance double")
+    assert given.count() <= len(ids) * 3 * V.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_vectors_of_floats_are_stored_as_such(spark):
+    v = spark.range(50).selectExpr("id AS doc_id", "array(float(id), float(0.1)) AS vector")
+    index = V.build(v)
+    assert index.blocks.schema["vectors"].dataType.simpleString() == "array<float>"
+    got = got_near(V.search(v.where("doc_id = 7").withColumnRenamed("doc_id", "query_id"), index, 3))
+    assert got == {7: [(0.0, 7), (1.0, 6), (1.0, 8)]}
+
+
+def test_many_equal_vectors(spark):
+    """More rows at the k-th distance than k: the lowest ids are found, wherever they lie."""
+    v = spark.range(3000).selectExpr("id AS doc_id", "array(1D, 2D) AS vector")
+    got = got_near(V.search(v.where("doc_id % 1000 = 5").withColumnRenamed("doc_id", "query_id"), V.build(v), 4))
+    assert got == {q: [(0.0, i) for i in range(4)] for q in (5, 1005, 2005)}
+
+
 def test_vectors_are_stored(spark, tmp_path):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0])], "doc_id int, vector array<float>")
     reads = []
