@@ -1,5 +1,6 @@
 """Stored vectors and stored postings against brute force: pruning and skipping change nothing."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -320,3 +321,48 @@ def test_scores_are_not_shuffled(spark, monkeypatch):
     q = spark.range(20).selectExpr("id AS query_id", "'the of r1' AS text")
     asked = P.materialise(P.query_weights(q, index.terms), "asked")
     assert P._scored_whole(asked, index, 2).count() <= 20 * 2 * index.forward.rdd.getNumPartitions()
+
+
+def test_stored_rows_are_not_shuffled_by_a_search(spark, asked, monkeypatch):
+    """What is asked is sent to blocks and forward rows, in packs if it is much; also where Spark would join by sorting."""
+    docs = library(120, 13)
+    index = P.create(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {q: b for q, t in QUERIES if (b := best(okapi(docs, t), 5))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights = P.materialise(P.query_weights(asked, index.terms), "weights")
+        pairs = P.materialise(weights.select("query_id", F.lit(3).cast("long").alias("doc_id")).distinct(), "pairs")
+        plan = P._pair_sums(pairs, weights, index.forward, index.avgdl)._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+        routes, _ = P._chosen_blocks(P.materialise(P._places(weights, index, F.lit(1.0)), "places"), index, pairs.select("query_id", F.lit(0.0).alias("threshold")).limit(0), F.lit(1.0))
+        sent = routes._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=broadcast)" in sent or "leftHint=(strategy=broadcast)" in sent
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name, value in (("JOINED", 2), ("DIRECT", 0), ("DEAR", 0.0)):
+        monkeypatch.setattr(P, name, value)
+    assert found(P.search(asked, index, 5)) == want
+
+
+def test_postings_travel_packed(spark, monkeypatch):
+    """Rows of the shuffle of postings grow with chunks and shards, not with postings; blocks hold each posting once, whatever is held."""
+    docs = library(300, 14)
+    index = P.create(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    postings = {(w, r.doc_id): (tf, r.dl) for r in index.forward.collect() for w, tf in zip(r.words, r.tfs)}
+    assert P._pieces(index.forward, index.avgdl, 7).count() <= 7 * index.forward.rdd.getNumPartitions() < len(postings) / 10
+    for chunk, shard, most, spread in ((1 << 20, 1 << 19, 1 << 21, 64), (50, 20, 30, 3)):
+        for name, value in (("CHUNK", chunk), ("SHARD", shard), ("MOST", most), ("SPREAD", spread)):
+            monkeypatch.setattr(P, name, value)
+        rows = P._block_rows(index.forward, index.avgdl, len(postings)).collect()
+        got = [((r.term, i), (tf, dl)) for r in rows for i, tf, dl in zip(r.ids, r.tfs, r.dls)]
+        assert len(got) == len(postings) and dict(got) == postings
+        assert all(r.n == len(r.ids) <= P.BLOCK and r.max_tf == max(r.tfs) and r.min_dl == min(r.dls) for r in rows)
+
+
+def test_keys_of_texts_are_numbers_in_the_order_of_their_digests(spark):
+    texts = [f"text number {i % 70}" for i in range(100)]
+    docs = spark.createDataFrame([*enumerate(texts), (200, None)], "doc_id long, text string").repartition(5)
+    index = RT.text_index(docs)
+    rank = {t: i for i, t in enumerate(sorted(set(texts), key=lambda t: hashlib.md5(t.encode()).hexdigest()))}
+    assert {r.doc_id: r.content_key for r in index.members.collect()} == {i: rank[t] for i, t in enumerate(texts)} | {200: None}
+    assert index.members.schema["content_key"].dataType.simpleString() == "int" == index.postings.forward.schema["doc_id"].dataType.simpleString()
