@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +33,30 @@ def hashing_vector(text: Column, dim: int = 256) -> Column:
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
-    """(key, vector): the unit-length bag-of-words vector of each row with a word, for keys that are unique.
+    """(key, vector): the unit-length bag-of-words vector of each row with a word; rows that share a key add up.
 
-    Work grows with the words alone: they are counted by bucket, combined map-side, and a key's counts, `dim` at
-    most, meet once. Documents and whatever is searched for must share `dim`.
+    Work grows with the words alone: they are counted by bucket where they are read, and the `dim` counts of a row are what is
+    shuffled. Documents and whatever is searched for must share `dim`.
     """
-    word = rows.select(key, F.explode(X.words(F.col(text))).alias("word"))
-    bucket = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    counts = word.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    sums = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by_bucket"),
-        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    at = lambda b: F.coalesce(F.try_element_at("by_bucket", b), F.lit(0)) / F.col("norm")
-    return sums.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at).alias("vector"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+                coded = batch.column(1).flatten().dictionary_encode()
+                words = coded.dictionary.cast(pa.binary()).to_pylist()
+                bucket = np.array([int(hashlib.md5(w).hexdigest()[:8], 16) % dim for w in words], np.int64)
+                cell = np.repeat(np.arange(len(sizes)) * dim, sizes) + bucket[coded.indices.to_numpy()]
+                counts = np.bincount(cell, minlength=len(sizes) * dim).reshape(-1, dim)[sizes > 0].astype(np.int32)
+                ends = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).filter(pa.array(sizes > 0)), pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], ["key", "counts"])
+
+    counted = rows.select(key, X.words(F.col(text)).alias("words")).mapInArrow(count, f"key {kind}, counts array<int>")
+    sums = counted.groupBy("key").agg(F.array(*[F.sum(F.get("counts", F.lit(b))) for b in range(dim)]).alias("counts"))
+    norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n * n))
+    return sums.withColumn("norm", norm).select(F.col("key").alias(key), F.transform("counts", lambda n: n / F.col("norm")).alias("vector"))
 
 
 def encode(df: DataFrame, text: str, encoder: Callable[[Column], Column], out: str = "vector") -> DataFrame:

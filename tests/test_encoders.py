@@ -50,3 +50,13 @@ def test_probe_shows_the_first_characters_in_one_line(spark):
     asked = hashed_vectors(docs.where("doc_id = 1").withColumnRenamed("doc_id", "query_id"), "query_id")
     got = RT.probe(asked, docs, stored, 1).collect()
     assert [(r.doc_id, r.preview) for r in got] == [(1, ("first line " + "x" * 200)[:150])]
+
+
+def test_counts_of_a_row_are_shuffled_once(spark):
+    """No row a (text, bucket) is shuffled; rows that share a key add up, rows without a word have no vector."""
+    rows = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, None), (3, " "), (None, "x")], "doc_id long, text string")
+    vectors = hashed_vectors(rows, "doc_id", dim=64)
+    assert vectors._jdf.queryExecution().sparkPlan().toString().count("Generate") == 0
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.doc_id: r.vector for r in vectors.collect()}
+    assert got.keys() == {1, None} and got[1] == hashed_vectors(spark.createDataFrame([(1, "a a b b c")], rows.schema), "doc_id").first().vector
